@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import tokenise
+from skeinwork.llm import leakage, repetition, tokenise
 from skeinwork.session import read_table
 
 
@@ -14,5 +14,13 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise.encode_corpus(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_ids": p7_ids}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.found(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.found(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}
