@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import leakage, repetition, tokenise
+from skeinwork.llm import boilerplate_lines, leakage, repetition, survivors, tokenise
 from skeinwork.session import read_table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate_lines.found(read_table(spark, sf_dir, "raw_items"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.found(*[read_table(spark, sf_dir, t) for t in ("processed_items", "raw_items", "sources")])
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise.encode_corpus(read_table(spark, sf_dir, "documents"))
 
@@ -22,5 +30,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.found(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}
