@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import boilerplate_lines, leakage, repetition, survivors, tokenise
+from skeinwork.llm import boilerplate_lines, leakage, main_text, repetition, residue, survivors, tokenise
 from skeinwork.session import read_table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.found(read_table(spark, sf_dir, "raw_items"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate_lines.found(read_table(spark, sf_dir, "raw_items"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.found(read_table(spark, sf_dir, "raw_items"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.found(*[read_table(spark, sf_dir, t) for t in ("processed_items", "raw_items", "sources")])
 
@@ -30,5 +38,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.found(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}
