@@ -6,14 +6,10 @@ Folding is NFKC followed by lower case. Spark has no NFKC expression, so these r
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 
 import numpy as np
 
-_NUMERIC = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and unicodedata.category(c) != "Nd")
-_NOT_LETTER = re.compile(rf"[\W\d_{re.escape(_NUMERIC)}]+")
-_NOT_LETTER_KEEP_BREAKS = re.compile(rf"(?:(?!\n)[\W\d_{re.escape(_NUMERIC)}])+")
 _NOT_ALNUM = re.compile(r"[\W_]+")
 
 _MASK = (1 << 64) - 1
@@ -26,8 +22,8 @@ def folded(text: str) -> str:
 
 
 def letters_by_line(text: str) -> list[str]:
-    """Each line's folded letters (Unicode L*), lines split at newlines."""
-    return _NOT_LETTER_KEEP_BREAKS.sub("", folded(text)).split("\n")
+    """Each line's folded letters (str.isalpha: Unicode L*), lines split at newlines."""
+    return ["".join(filter(str.isalpha, line)) for line in folded(text).split("\n")]
 
 
 def alnum(text: str) -> str:
