@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import boilerplate_lines, leakage, main_text, repetition, residue, survivors, tokenise
+from skeinwork.llm import boilerplate_lines, leakage, main_text, near_duplicates, repetition, residue, survivors, tokenise
 from skeinwork.session import read_table
 
 
@@ -18,6 +18,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate_lines.found(read_table(spark, sf_dir, "raw_items"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, events = (read_table(spark, sf_dir, t) for t in ("raw_items", "event_clusters"))
+    return near_duplicates.found(items, events, residue.found(items).where("field = 'raw_content'").select("id"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.found(read_table(spark, sf_dir, "raw_items"))
 
@@ -38,5 +43,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.found(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}

@@ -23,7 +23,7 @@ from skeinwork.session import cut
 
 #: Blocks of a 64-bit fingerprint, blocks that must be equal in a table (so two fingerprints with up to BLOCKS - EQUAL differing bits
 #: share a table), the largest Hamming distance, the least similarity of texts, and the share of a line that marks must cover.
-BLOCKS, EQUAL, NEAR, SIMILAR, COVERED = 8, 2, 6, 0.8, 0.6
+BLOCKS, EQUAL, NEAR, SIMILAR, COVERED = 8, 2, 6, 0.8, 0.35
 
 _IDS = re.compile(r"\b(?=\w*\d)[0-9a-z\-]{2,}\b|\d+")
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -47,7 +47,7 @@ def fingerprint(text: str) -> int:
 def _storyless(model: lines.LineModel):
     """Lines of the values that hold no running text: (id, field, node, text, trusted, print)."""
 
-    def lacks_story(text: str, title: str | None) -> list[str]:
+    def lacks_story(text: str) -> list[str]:
         each = [x for x in text.split("\n") if x.strip()]
         # The longest lines first: of a real story already the first one nearly always settles it.
         if any(model.running_text(x) for x in sorted(each, key=len, reverse=True)):
@@ -57,12 +57,12 @@ def _storyless(model: lines.LineModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            columns = {c: batch.column(c).to_pylist() for c in ("id", "title", "raw_content", "content_excerpt")}
+            columns = {c: batch.column(c).to_pylist() for c in ("id", "raw_content", "content_excerpt")}
             for field in ("raw_content", "content_excerpt"):
-                for i, title, text in zip(columns["id"], columns["title"], columns[field]):
+                for i, text in zip(columns["id"], columns[field]):
                     if not text or not text.strip():
                         continue
-                    for line in lacks_story(text, title):
+                    for line in lacks_story(text):
                         key = masked(line)
                         trusted = residue_share(folded(line).strip()) > COVERED
                         points = code_points(key)
@@ -120,7 +120,7 @@ def residue(items: DataFrame, model: lines.LineModel | None = None) -> DataFrame
     once. The model of lines is fitted on the table itself unless given; an empty table gives no rows.
     """
     model = model or lines.fit(lines.sample(items))
-    rows = items.select("id", "title", "raw_content", "content_excerpt").mapInArrow(_storyless(model), "id bigint, field string, node bigint, text string, trusted boolean, print bigint")
+    rows = items.select("id", "raw_content", "content_excerpt").mapInArrow(_storyless(model), "id bigint, field string, node bigint, text string, trusted boolean, print bigint")
     parts = cut(rows.distinct())
     nodes = parts.groupBy("node", "text", "print").agg(F.max("trusted").alias("trusted"))
     labelled = spread(near_pairs(nodes), nodes.where("trusted"))

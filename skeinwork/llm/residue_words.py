@@ -46,7 +46,10 @@ fehler 404: die seite wurde nicht gefunden
 interner serverfehler(?: \(\w+\))?
 der dienst ist vorübergehend nicht erreichbar
 dieser link führt ins leere
+hier ist leider nichts
 versuchen sie es später erneut
+prüfen sie die adresse oder gehen sie zurück
+\bvorgang [0-9a-f]{4,}
 zugriff verweigert, kennung \w+
 ihre sitzung ist abgelaufen, bitte neu anmelden
 """
@@ -73,12 +76,14 @@ xxx announced yyy on dd/mm/yyyy
 mustertext für artikel, noch nicht freigegeben
 your (?:headline|text|title|summary|name) goes here
 hier steht ihr text\. bitte ersetzen
+titel einfügen - text folgt
 标题待定 ?正文待补
+待编辑:[^\n]{0,12}摘要、图片、正文
 \(请在此处填写正文\)
 此处插入导语,\d+字以内
 xxxx年xx月xx日,xx公司发布xx产品,xx表示xx
 ([一-鿿]{2,8}?)\1{3,}
-(?:\b(?:asdf|qwer|test|foo|bar|baz|blah|aaaa|bbbb|cccc|lorem|ipsum|xxxx|okok\w*|(?:test){2,}|(?:asd){2,}|x{4,}|1111|123)\b[ .,]*){2,}
+(?:\b(?:asdf|qwer(?:ty)?|test|foo|bar|baz|blah|aaaa|bbbb|cccc|lorem|ipsum|xxxx|okok\w*|(?:test){2,}|(?:asd){2,}|x{4,}|1111|123)\b[ .,]*){2,}
 (?:\b(?:lorem|ipsum|dolor|sit|amet|consectetur|adipiscing|elit|sed|do|eiusmod|tempor|incididunt|ut|labore|et|dolore|magna|aliqua|enim|minim|veniam|quis|nostrud|exercitation|ullamco|laboris|nisi|aliquip|ex|ea|commodo|consequat|duis|aute|irure|in|reprehenderit|voluptate|velit|esse|cillum|eu|fugiat|nulla|pariatur|excepteur|sint|occaecat|cupidatat|non|proident|sunt|culpa|qui|officia|deserunt|mollit|anim|id|est|laborum)\b[ .,]*){5,}
 """
 _TEMPLATES = r"""
