@@ -23,7 +23,7 @@ from skeinwork.llm import boosting
 from skeinwork.llm.residue_words import residue_share
 
 #: Items the model is fitted on, chosen by a hash of their id; the most tokens it knows; items of a source in which furniture recurs.
-SAMPLE, TOKENS, RECURS = 5_000, 30_000, 4
+SAMPLE, TOKENS, RECURS = 4_000, 30_000, 4
 #: Cost, in log-odds, of keeping only a part of a run.
 MIXED = 1.5
 
@@ -289,7 +289,13 @@ def _extend(page: Page, x: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 
 def sample(items: DataFrame, most: int = SAMPLE) -> list[tuple]:
-    """At most `most` items with text, chosen by a hash of the id, so the same table gives the same model."""
-    text = items.where(F.col("raw_content").rlike(r"(?U)\S")).select("id", "raw_content", "title", "content_excerpt", "source_id")
-    rows = text.orderBy(F.xxhash64("id"), "id").limit(most).collect()
-    return list({r["id"]: (r["raw_content"], r["title"], r["content_excerpt"], r["source_id"]) for r in rows}.values())
+    """At most `most` items with text, chosen by a hash of the id, so the same table gives the same model.
+
+    The share is set from a count, so the executors send about `most` rows whatever their number.
+    """
+    text = items.where(F.col("raw_content").rlike(r"(?U)\S"))
+    share = min(1.0, 1.05 * most / max(1, items.count()))
+    chosen = text.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= int(share * (1 << 30)))
+    rows = chosen.select("id", "raw_content", "title", "content_excerpt", "source_id").collect()
+    one = {r["id"]: (r["raw_content"], r["title"], r["content_excerpt"], r["source_id"]) for r in rows}
+    return [one[i] for i in sorted(one, key=lambda i: (i is None, i * 0x9E3779B97F4A7C15 % (1 << 64) if i is not None else 0))][:most]
