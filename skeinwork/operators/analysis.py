@@ -125,7 +125,8 @@ def with_classes(items: DataFrame, vocab: Vocabulary = REFERENCE) -> DataFrame:
 def tags(classified: DataFrame) -> DataFrame:
     """(id, dimension, value, ord): one row a tag of each item, dimensions in their order."""
     dims = {"industry": F.array("class_industry"), "industry_subtag": F.col("subtags"), "event_type": F.col("event_types"), "subject_role": F.col("subject_roles"), "signal_attribute": F.col("signals")}
-    each = F.flatten(F.array(*[F.transform(v, lambda x, k=k: F.struct(F.lit(k).alias("dimension"), x.alias("value"))) for k, v in dims.items()]))
+    tagged = lambda k: lambda x: F.struct(F.lit(k).alias("dimension"), x.alias("value"))
+    each = F.flatten(F.array(*[F.transform(v, tagged(k)) for k, v in dims.items()]))
     return classified.select("id", F.posexplode(each).alias("ord", "t")).select("id", "t.dimension", "t.value", "ord")
 
 

@@ -1,20 +1,450 @@
-"""Queries of the general operators, by name."""
+"""Queries of the general operators by name, each over its whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from skeinwork.functions import text as T
+from skeinwork.operators import analysis as A
+from skeinwork.operators import ledger as L
+from skeinwork.operators import serving as S
 from skeinwork.operators import timestamps
+from skeinwork.plans import sql
 from skeinwork.session import read_table
+from skeinwork.sources import pages, similarity
+from skeinwork.vocab import REFERENCE
 
 Query = Callable[[SparkSession, str], DataFrame]
+NOW = sql.NOW
 
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = dict(sql.SQL)
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timestamps.found(read_table(spark, sf_dir, "raw_items"), read_table(spark, sf_dir, "sources"))
+
+class Tables:
+    """The tables of one folder, read when asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.folder = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return read_table(self.spark, self.folder, name)
+
+    def items(self) -> DataFrame:
+        return A.items_with_sources(self.raw_items, self.sources)
+
+    def classified(self) -> DataFrame:
+        return A.with_classes(self.items())
+
+    def analysed(self) -> DataFrame:
+        return A.analysed(self.raw_items, self.sources, NOW)
+
+    def joined(self) -> DataFrame:
+        return S.joined(self.processed_items, self.raw_items, self.sources)
+
+
+def query(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+    return f
+
+
+def joined_names(c: str) -> F.Column:
+    return F.array_join(c, "|").alias(c)
+
+
+@query
+def feed_rank_topk(t):
+    return S.feed(t.joined(), NOW, time_range="all").select("item_id", "rank_score", "published_at", "source_name", "title")
+
+
+@query
+def feed_time_topk(t):
+    return S.feed(t.joined(), NOW, time_range="all", sort="time", limit=100).select("item_id", "rank_score", S.display_time().alias("display_time"))
+
+
+@query
+def time_window_feed(t):
+    return S.feed(t.joined(), NOW, time_range="30d", limit=200).select("item_id", "rank_score")
+
+
+@query
+def analysed_feed(t):
+    """Relevance, clusters, classes and ranks from raw items to a top list."""
+    rows = t.analysed().orderBy(F.desc("rank_score"), F.desc_nulls_last("published_s"), "id").limit(50)
+    return rows.select("id", "industry", "cluster_key", "members", "reliable_sources", "importance", "rank_score")
+
+
+@query
+def relevance_screen(t):
+    r = A.with_relevance(t.items())
+    return r.select("id", F.size("nev_terms").alias("n_nev"), F.size("ai_terms").alias("n_ai"), F.size("negative_terms").alias("n_negative"), "low_information", "is_relevant", "industry", "screen_confidence")
+
+
+@query
+def relevance_terms(t):
+    return A.with_relevance(t.items()).select("id", joined_names("nev_terms"), joined_names("ai_terms"))
+
+
+@query
+def relevance_verdict_counts(t):
+    return A.with_relevance(t.items()).groupBy("is_relevant", "industry", "screen_confidence").agg(F.count("*").alias("n"))
+
+
+@query
+def relevance_vs_stored(t):
+    stored = F.element_at(F.create_map(*[F.lit(x) for kv in REFERENCE.hints.items() for x in kv]), F.col("relevance_industry"))
+    return A.with_relevance(t.items()).groupBy(F.coalesce(stored, F.lit("")).alias("stored"), F.col("industry").alias("screened")).agg(F.count("*").alias("n"))
+
+
+@query
+def low_information(t):
+    return A.with_relevance(t.items()).where("low_information").select("id", "title")
+
+
+@query
+def keyword_search(t):
+    return t.joined().where(S.keyword("Battery")).select("item_id", "title")
+
+
+@query
+def importance_filter(t):
+    return t.joined().where("importance_level = 'high'").select("item_id", "rank_score")
+
+
+@query
+def source_type_filter(t):
+    return t.joined().where("source_type = 'government'").select("item_id", "source_name")
+
+
+@query
+def tag_filter(t):
+    return t.classified().where(F.array_contains("event_types", "产能/交付") & F.array_contains("signals", "机会信号")).select("id")
+
+
+@query
+def published_window(t):
+    s = T.iso_seconds(F.col("published_at"))
+    return t.items().where(S.in_window(s, F.lit(sql.WINDOW[0]), F.lit(sql.WINDOW[1]))).select("id", s.alias("seconds"))
+
+
+@query
+def due_sources(t):
+    return S.due_sources(t.sources, sql.DUE_AT).select("id", "name")
+
+
+@query
+def source_windows(t):
+    return S.source_windows(t.sources, sql.DUE_AT)
+
+
+@query
+def sources_list(t):
+    score = F.when(~F.isnan("reliability_score"), F.col("reliability_score"))
+    label = F.element_at(F.create_map(*[F.lit(x) for kv in REFERENCE.source_labels.items() for x in kv]), F.col("type"))
+    return t.sources.select("id", "name", "type", label.alias("type_label"), score.alias("reliability"), "enabled").orderBy("type", F.desc_nulls_last("reliability"), "id")
+
+
+@query
+def cluster_keys(t):
+    return t.items().select("id", A.normal_title(F.col("title")).alias("normal_title"), A.cluster_key(F.col("title")).alias("cluster_key"))
+
+
+@query
+def cluster_sizes(t):
+    return A.clusters(t.items()).select("cluster_key", "members").where("members > 1")
+
+
+@query
+def cluster_representative(t):
+    return A.clusters(t.items()).select("cluster_key", "representative_id")
+
+
+@query
+def cluster_seen_range(t):
+    return A.clusters(t.items()).select("cluster_key", "first_seen", "last_seen")
+
+
+@query
+def reliable_coverage(t):
+    return A.clusters(t.items()).select("cluster_key", "reliable_sources")
+
+
+@query
+def event_report_counts(t):
+    j = t.joined()
+    return j.groupBy("event_id").agg(F.count("*").alias("reports"), F.count_distinct(F.when(F.col("reliability") >= 0.65, F.col("source_id"))).alias("reliable_sources"), F.array_join(F.array_sort(F.collect_set("source_name")), "|").alias("names"))
+
+
+@query
+def event_detail(t):
+    j = t.joined().groupBy("event_id").agg(F.count("*").alias("reports"), F.max("rank_score").alias("best_score"))
+    return t.event_clusters.join(j, F.col("id") == F.col("event_id"), "left").select("id", "canonical_title", F.coalesce("reports", F.lit(0)).alias("reports"), "best_score")
+
+
+@query
+def similar_reports(t):
+    return S.similar_reports(t.joined())
+
+
+@query
+def new_items_anti(t):
+    return t.raw_items.dropDuplicates(["id"]).join(t.processed_items.select(F.col("raw_item_id").alias("id")), "id", "left_anti").select("id", "status")
+
+
+@query
+def scoped_semi(t):
+    late = t.processed_items.where("workflow_run_id is not null and rank_score >= 0.6").select(F.col("raw_item_id").alias("id"))
+    return t.raw_items.dropDuplicates(["id"]).join(late, "id", "left_semi").select("id", "source_id")
+
+
+@query
+def orphan_candidates(t):
+    off = t.sources.where("enabled").select(F.col("id").alias("source_id"))
+    return t.raw_items.dropDuplicates(["id"]).join(off, "source_id", "left_anti").select("id", "source_id")
+
+
+def _classes(name: str, *columns: str):
+    QUERIES[name] = lambda spark, sf_dir: Tables(spark, sf_dir).classified().select("id", *[joined_names(c) if c in ("event_types", "subject_roles", "signals", "subtags") else F.col(c) for c in columns])
+
+
+_classes("classify_events", "event_types")
+_classes("classify_roles", "subject_roles")
+_classes("classify_signals", "signals")
+_classes("classify_industry", "class_industry")
+_classes("classify_subtags", "subtags")
+_classes("classify_importance", "importance", "class_confidence", "importance_reason", "actor_level")
+
+
+@query
+def item_tags(t):
+    return A.tags(t.classified()).select("id", "dimension", "value")
+
+
+@query
+def tag_counts(t):
+    return A.tags(t.classified()).groupBy("dimension", "value").agg(F.count("*").alias("n"))
+
+
+@query
+def tags_by_dimension(t):
+    return A.tags(t.classified()).groupBy("id", "dimension").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda x: x["value"]), "|").alias("tag_values"))
+
+
+@query
+def entities(t):
+    return t.classified().select("id", F.explode("entities").alias("e")).select("id", F.col("e.text").alias("entity"), F.col("e.type").alias("entity_type"), F.col("e.concat_offset").alias("concat_offset"))
+
+
+@query
+def taxonomy_violations(t):
+    rows = t.raw_items.dropDuplicates(["id"]).withColumn("labels", F.when(F.col("relevance_industry").isNotNull(), F.array("relevance_industry")))
+    return A.violations(rows, "labels", ("ai",)).select("id", F.array_join("unknown", "|").alias("unknown"))
+
+
+@query
+def rank_score(t):
+    return t.analysed().select("id", "rank_score")
+
+
+@query
+def rank_breakdown(t):
+    return t.analysed().select("id", "importance_score", "source_score", "freshness_score", "event_type_score", "coverage_score", "key_actor_score")
+
+
+@query
+def freshness_buckets(t):
+    f = A.freshness(T.iso_seconds(F.col("published_at")), T.iso_seconds(F.col("fetched_at")), sql.FRESH_AT)
+    return t.items().groupBy(f.alias("freshness")).agg(F.count("*").alias("n"))
+
+
+@query
+def summary_counts(t):
+    return S.summary(t.processed_items, t.sources, t.workflow_runs)
+
+
+@query
+def latest_run_per_trigger(t):
+    return S.latest_runs(t.workflow_runs)
+
+
+@query
+def runs_page(t):
+    return S.run_page(t.workflow_runs, page=2).select("id", "started_at", "status")
+
+
+@query
+def run_durations(t):
+    return S.run_durations(t.workflow_runs)
+
+
+@query
+def close_duplicate_running(t):
+    return S.close_duplicate_running(t.workflow_runs, "failed")
+
+
+@query
+def run_counters(t):
+    j = t.processed_items.dropDuplicates(["id"]).groupBy("workflow_run_id").agg(F.count("*").alias("extracted"), F.count_distinct("canonical_event_id").alias("deduped"))
+    return t.workflow_runs.join(j, F.col("id") == F.col("workflow_run_id"), "left").select("id", F.coalesce("extracted", F.lit(0)).alias("extracted"), F.coalesce("deduped", F.lit(0)).alias("deduped"))
+
+
+@query
+def content_hash(t):
+    return t.items().select("id", T.content_hash(F.col("title"), F.col("raw_content")).alias("content_hash"))
+
+
+@query
+def exact_duplicates(t):
+    return t.items().groupBy(T.content_hash(F.col("title"), F.col("raw_content")).alias("content_hash")).agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
+
+
+@query
+def excerpt(t):
+    return t.items().select("id", T.excerpt(F.col("raw_content")).alias("excerpt"))
+
+
+@query
+def compact_text(t):
+    return t.documents.select("doc_id", T.compact(F.col("text")).alias("compact"))
+
+
+@query
+def url_dates(t):
+    return t.raw_items.dropDuplicates(["id"]).select("id", T.url_date(F.col("url")).cast("string").alias("day")).where("day is not null")
+
+
+@query
+def text_dates(t):
+    return t.raw_items.dropDuplicates(["id"]).select("id", T.text_date(F.col("raw_content")).cast("string").alias("day")).where("day is not null")
+
+
+@query
+def iso_dates(t):
+    return t.raw_items.dropDuplicates(["id"]).select("id", T.iso_seconds(F.col("published_at")).alias("published_s"), T.iso_seconds(F.col("fetched_at")).alias("fetched_s"))
+
+
+@query
+def backfill_dates(t):
+    return L.backfilled_dates(t.raw_items)
+
+
+@query
+def clean_url(t):
+    return t.raw_items.dropDuplicates(["id"]).select("id", T.without_fragment(F.concat("url", F.lit("#top"))).alias("clean"))
+
+
+@query
+def candidate_urls(t):
+    one = t.raw_items.dropDuplicates(["id"])
+    return one.where(pages.usable_link(F.lit("https://www.example/"), F.col("url"), F.coalesce("title", F.lit("")))).select("id", "url")
+
+
+@query
+def substantive_body(t):
+    one = t.raw_items.dropDuplicates(["id"])
+    return one.where(pages.substantive(T.compact(F.col("raw_content")), T.compact(F.col("title")))).select("id")
+
+
+@query
+def page_titles(t):
+    html = F.concat(F.lit("<html><head><title>"), F.replace(F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</title></head><body><script>var a = 1;</script><p>x</p><a href='/a#b'>go on</a></body></html>"))
+    rows = t.raw_items.dropDuplicates(["id"]).where("title is not null").select("id", "url", html.alias("html"))
+    return pages.parsed(rows).select("id", "page.title", F.size("page.links").alias("links"))
+
+
+@query
+def key_facts(t):
+    k = A.key_facts(t.classified())
+    return k.select("id", F.col("key_facts.who").alias("who"), F.col("key_facts.when").alias("when_text"), F.col("key_facts.evidence").alias("evidence"))
+
+
+@query
+def summary_sentence(t):
+    return A.key_facts(t.classified()).select("id", "summary_sentence")
+
+
+@query
+def impact_sentence(t):
+    return A.key_facts(t.classified()).select("id", "impact_sentence")
+
+
+@query
+def source_span(t):
+    return A.key_facts(t.classified()).select("id", F.col("source_span.field").alias("field"), F.col("source_span.end").alias("end_at"), F.col("source_span.quote").alias("quote"))
+
+
+@query
+def brief_items(t):
+    return S.brief_items(t.joined()).select("place", "item_id", "rank_score", "source_name")
+
+
+@query
+def brief_markdown(t):
+    return S.brief(S.brief_items(t.joined()))
+
+
+@query
+def source_upsert(t):
+    new = t.sources.where("id % 3 = 0").select("id", F.concat("name", F.lit(" (new)")).alias("name"), F.lit(45).alias("fetch_interval_minutes"), F.lit(False).alias("enabled"))
+    extra = new.limit(0).unionByName(t.sources.where("id = 1").select((F.col("id") + 1000).alias("id"), F.lit("added").alias("name"), F.lit(30).alias("fetch_interval_minutes"), F.lit(True).alias("enabled")))
+    return L.upserted(t.sources, new.unionByName(extra), "id", ("enabled", "last_fetched_at", "last_checked_at", "last_error")).select("id", "name", "fetch_interval_minutes", "enabled")
+
+
+@query
+def patch_source(t):
+    change = F.array(F.struct(F.lit("industry_hint").alias("field"), F.lit("").alias("value")), F.struct(F.lit("fetch_interval_minutes").alias("field"), F.lit("15").alias("value")))
+    patch = t.sources.where("id % 4 = 0").select("id", F.explode(change).alias("x")).select("id", "x.*")
+    return L.patched(t.sources, patch, "id").select("id", "industry_hint", "fetch_interval_minutes")
+
+
+@query
+def guarded_delete(t):
+    return L.deletable(t.sources, t.raw_items, "id", "source_id").select("id", "name")
+
+
+@query
+def ledger_enrich(t):
+    batch = t.raw_items.dropDuplicates(["id"]).where("source_id = 7").select("url", F.lit("screened").alias("relevance_reason"))
+    return L.enriched(t.raw_items.dropDuplicates(["id"]), batch, "url", ("relevance_reason",)).select("id", "relevance_reason")
+
+
+@query
+def json_fields(t):
+    return t.raw_items.dropDuplicates(["id"]).select("id", F.coalesce(F.array_join(F.from_json("relevance_matched_terms_json", "array<string>"), "|"), F.lit("")).alias("terms"))
+
+
+@query
+def profile_counts(t):
+    rows = t.items().select("source_type", "status", F.coalesce("relevance_industry", F.lit("none")).alias("industry"))
+    return rows.groupingSets([["source_type"], ["status"], ["industry"]], "source_type", "status", "industry").agg(F.count("*").alias("n"))
+
+
+@query
+def event_tumbling(t):
+    day = F.date_trunc("day", F.col("ts"))
+    return t.events.groupBy(F.date_format(day, "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query
+def event_dedupe(t):
+    return L.first_by(t.events, "user_id", F.asc("ts"), F.asc("event_id")).select("user_id", "event_id", "event_type")
+
+
+@query
+def cosine_topk(t):
+    return similarity.nearest(t.embeddings, "vec_id", "embedding", every=50, k=5)
+
+
+@query
+def item_trace(t):
+    return S.trace(t.joined()).select("item_id", F.get_json_object("node_trace", "$[0].node").alias("first_node"), F.get_json_object("node_trace", "$[5].node").alias("last_node"))
+
+
+@query
+def p5_found(t):
+    return timestamps.found(t.raw_items, t.sources)
 
 
-QUERIES: dict[str, Query] = {"p5_found": p5_found}
-SQL: dict[str, str] = {}
