@@ -28,18 +28,27 @@ SAMPLE, TOKENS, RECURS = 4_000, 30_000, 4
 MIXED = 1.5
 
 _TOKEN = re.compile(r"[a-zäöüßéè]{2,}|[぀-ヿ一-鿿가-힯]+|[^\s\w]")
-_WRAP = re.compile(r"^\s*»?\s*|\s+\.{1,3}\s*$|\s+$")
 _BULLET = re.compile(r"^\s*(?:(\d{1,2})[.、)]\s|(\(\d{1,2}\))|([·])|(>>|»)|([-—–*•])\s)")
 _LABEL = re.compile(r"^\W*([^\W\d_][^:\n]{1,24}):")
 _NOTALNUM = re.compile(r"[\W_]+")
-_LATIN = re.compile(r"[a-zäöüß]")
 _WIDE = re.compile(r"[぀-ヿ一-鿿가-힯]")
+
+
+class _Kinds(dict):
+    """Kind of each character: digit, Latin letter, ideograph or other letter of the wide scripts, stop, anything else."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kind = "d" if c.isdecimal() else "l" if "a" <= c <= "z" or c in "äöüß" else "w" if _WIDE.match(c) else "s" if c in ",，、;；。." else " "
+        self[code] = kind
+        return kind
+
+
+_KINDS = _Kinds()
 _DATE = re.compile(r"\d{4}[-/.年]\d{1,2}[-/.月]\d{1,2}|\d{1,2}[./]\d{1,2}[./]\d{4}")
 _CODE = re.compile(r"[.#][\w-]+[^{}]*\{[^{}]*:[^{}]*\}|\b(?:var|let|const)\s+\w+\s*=|\bwindow\.\w+|\w\(.{0,20}\);")
 _SEPARATOR = re.compile(r"[|>/·｜]|\s-\s")
 _AMOUNT = re.compile(r"[:|]\s*[\d.,]+\s*(?:万|亿)?\s*[^\W\d_]")
-_DIGIT = re.compile(r"\d")
-_STOPS = re.compile(r"[,，、;；。.]")
 #: A line's own features, in order, and those it has from its neighbours, its run and its page.
 OWN = "evidence headline known size words bullet ends code own_title separators digits latin wide label head_evidence head_headline date amount marks tail_evidence tail_headline odd stops".split()
 FEATURES = OWN + "story place at from_end run_size run_evidence run_headline in_run strong page_size before behind gap gap_after".split() + [f"{k}_{d}" for d in ("previous", "next", "previous2", "next2") for k in ("story", "bullet", "own")]
@@ -50,8 +59,8 @@ def tokens(line: str) -> list[str]:
     """Words of a folded line, pairs of neighbouring characters where words aren't set apart, and punctuation marks."""
     out: list[str] = []
     for t in _TOKEN.findall(line):
-        if _WIDE.match(t):
-            out += map("".join, zip(t, t[1:])) if len(t) > 1 else [t]
+        if t[0] >= "぀":  # the scripts without blanks between words
+            out += [t[i : i + 2] for i in range(len(t) - 1)] or [t]
         else:
             out.append(t)
     return out
@@ -69,20 +78,48 @@ class Page:
     title: str
 
 
+#: Longest line that can be a list entry or a byline: only such are searched for amounts and dates.
+SHORT = 160
+#: Lines up to this length are remembered, as menus and notices recur, until so many are.
+REMEMBERED, MEMORY = 100, 20_000
+_memory: dict[str, tuple] = {}
+
+
 def _shape(line: str) -> tuple:
     m = _BULLET.match(line)
-    bullet = next((i + 1 for i, g in enumerate(m.groups()) if g), 0) if m else 0
-    return bullet, bool(re.search(r"[.。!?！?;；]$", line)), bool(_CODE.search(line))
+    return m.lastindex if m else 0, line[-1] in ".。!?！？;；", _CODE.search(line) is not None
+
+
+def _look(line: str) -> tuple:
+    """(words, letters and digits, shape) of a line."""
+    seen = _memory.get(line)
+    if seen is None:
+        seen = tokens(line), _NOTALNUM.sub("", line), _shape(line)
+        if len(line) <= REMEMBERED:
+            if len(_memory) >= MEMORY:
+                _memory.clear()
+            _memory[line] = seen
+    return seen
+
+
+def unwrapped(line: str) -> str:
+    """A folded line with single blanks, without the marks that some sites put around lines."""
+    clean = " ".join(line.split())
+    if clean[:1] == "»":
+        clean = clean[1:].lstrip()
+    while clean[-1:] == "." and (cut := clean.rstrip("."))[-1:] == " ":
+        clean = cut.rstrip()
+    return clean
 
 
 def parse(text: str, title: str | None) -> Page:
     numbers, lines = [], []
     for number, line in enumerate(folded(text).split("\n"), 1):
-        clean = _WRAP.sub("", line)
-        if line.strip():
+        if line and not line.isspace():
             numbers.append(number)
-            lines.append(re.sub(r"\s+", " ", clean) or line.strip())
-    return Page(numbers, lines, [tokens(x) for x in lines], [_NOTALNUM.sub("", x) for x in lines], [_shape(x) for x in lines], _NOTALNUM.sub("", folded(title or "")))
+            lines.append(unwrapped(line) or line.strip())
+    seen = [_look(x) for x in lines]
+    return Page(numbers, lines, [s[0] for s in seen], [s[1] for s in seen], [s[2] for s in seen], _NOTALNUM.sub("", folded(title or "")))
 
 
 def _grams(text: str) -> set[str]:
@@ -103,44 +140,53 @@ class LineModel:
 
     def __init__(self, weights: dict[str, tuple[float, float]], forest: boosting.Forest | None):
         self.weights, self.forest = weights, forest
+        self.rows: dict[str, tuple] = {}
+
+    def __getstate__(self):
+        return self.weights, self.forest
+
+    def __setstate__(self, state):
+        self.__init__(*state)
 
     def evidence(self, words: list[str]) -> tuple[float, float, float]:
-        """(story against furniture, headline against story, share of known tokens), each a mean over known tokens."""
-        a = b = 0.0
-        n = 0
-        get = self.weights.get
-        for w in words:
-            x = get(w)
-            if x is not None:
-                a += x[0]
-                b += x[1]
-                n += 1
-        return (a / (n + 1), b / (n + 1), n / (len(words) or 1))
+        """(story against furniture, headline against story, share of known tokens), the first two means over known tokens."""
+        known = [x for x in map(self.weights.get, words) if x is not None]
+        n = len(known)
+        return sum([x[0] for x in known]) / (n + 1), sum([x[1] for x in known]) / (n + 1), n / (len(words) or 1)
+
+    def own(self, line: str, words: list[str], bare: str, shape: tuple) -> tuple:
+        """The features of a line on its own, but for its likeness to the title."""
+        row = self.rows.get(line)
+        if row is None:
+            size = len(line)
+            count = line.translate(_KINDS).count
+            label = _LABEL.match(line)
+            row = (
+                *self.evidence(words), size, len(words), *shape, 0.0, len(_SEPARATOR.findall(line)), count("d") / size, count("l") / size, count("w") / size, len(label.group(1)) if label else 0,
+                *self.evidence(words[:4])[:2], size <= SHORT and _DATE.search(line) is not None, size <= SHORT and _AMOUNT.search(line) is not None, len(_CODE.findall(line)) if shape[2] else 0, *self.evidence(words[len(words) // 2 :])[:2], size - len(bare), count("s") / size,
+            )
+            if size <= REMEMBERED:
+                if len(self.rows) >= MEMORY:
+                    self.rows.clear()
+                self.rows[line] = row
+        return row
 
     def features(self, pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(features, page, run) of all lines of the pages; run numbers are unique over the pages."""
         rows: list[tuple] = []
+        like: list[float] = []
         for page in pages:
             grams = _grams(page.title)
-            known: dict[str, tuple] = {}
             for line, words, bare, shape in zip(page.lines, page.words, page.bare, page.shape):
-                row = known.get(line)
-                if row is None:
-                    size = len(line)
-                    label = _LABEL.match(line)
-                    rest = words[len(words) // 2 :]
-                    row = known[line] = (
-                        *self.evidence(words), size, len(words), *shape, _similarity(bare, page.title, grams), len(_SEPARATOR.findall(line)), len(_DIGIT.findall(line)) / size,
-                        len(_LATIN.findall(line)) / size, len(_WIDE.findall(line)) / size, len(label.group(1)) if label else 0, *self.evidence(words[:4])[:2],
-                        _DATE.search(line) is not None, _AMOUNT.search(line) is not None, len(_CODE.findall(line)), *self.evidence(rest)[:2], size - len(bare), len(_STOPS.findall(line)) / size,
-                    )
-                rows.append(row)
+                rows.append(self.own(line, words, bare, shape))
+                like.append(_similarity(bare, page.title, grams))
         n = len(rows)
         own = len(OWN)
         x = np.zeros((n, len(FEATURES)), np.float32)
         if not n:
             return x, np.empty(0, int), np.empty(0, int)
         x[:, :own] = rows
+        x[:, OWN_TITLE] = like
         many = np.array([len(p.lines) for p in pages])
         page = np.repeat(np.arange(len(pages)), many)
         first = np.repeat(np.cumsum(many) - many, many)
@@ -179,7 +225,7 @@ class LineModel:
 
     def running_text(self, line: str) -> bool:
         """Whether one line on its own is running text of a story; headings, lists and furniture are not. For values that may hold none."""
-        clean = re.sub(r"\s+", " ", _WRAP.sub("", folded(line)))
+        clean = unwrapped(folded(line))
         words = tokens(clean)
         if len(words) < 5:
             return False

@@ -20,7 +20,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, events = (read_table(spark, sf_dir, t) for t in ("raw_items", "event_clusters"))
-    return near_duplicates.found(items, events, residue.found(items).where("field = 'raw_content'").select("id"))
+    return near_duplicates.found(items, events, residue.residue(items, fields=("raw_content",)).select("id"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

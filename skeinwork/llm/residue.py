@@ -44,7 +44,10 @@ def fingerprint(text: str) -> int:
     return int(_BITS[ones * 2 > len(hashes)].sum(dtype=np.uint64).astype(np.int64))
 
 
-def _storyless(model: lines.LineModel):
+FIELDS = ("raw_content", "content_excerpt")
+
+
+def _storyless(model: lines.LineModel, fields: tuple[str, ...]):
     """Lines of the values that hold no running text: (id, field, node, text, trusted, print)."""
 
     def lacks_story(text: str) -> list[str]:
@@ -57,8 +60,8 @@ def _storyless(model: lines.LineModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            columns = {c: batch.column(c).to_pylist() for c in ("id", "raw_content", "content_excerpt")}
-            for field in ("raw_content", "content_excerpt"):
+            columns = {c: batch.column(c).to_pylist() for c in ("id", *fields)}
+            for field in fields:
                 for i, text in zip(columns["id"], columns[field]):
                     if not text or not text.strip():
                         continue
@@ -113,14 +116,14 @@ def spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         frontier = fresh
 
 
-def residue(items: DataFrame, model: lines.LineModel | None = None) -> DataFrame:
+def residue(items: DataFrame, model: lines.LineModel | None = None, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """Cases of problem 4: (id, field) of values that hold residue and no running text of a story.
 
     Null and blank values are none; neither are values of page furniture alone, nor real texts that mention such words. Equal ids count
-    once. The model of lines is fitted on the table itself unless given; an empty table gives no rows.
+    once. The model of lines is fitted on the table itself unless given; an empty table gives no rows. fields: the columns looked at.
     """
     model = model or lines.fit(lines.sample(items))
-    rows = items.select("id", "raw_content", "content_excerpt").mapInArrow(_storyless(model), "id bigint, field string, node bigint, text string, trusted boolean, print bigint")
+    rows = items.select("id", *fields).mapInArrow(_storyless(model, fields), "id bigint, field string, node bigint, text string, trusted boolean, print bigint")
     parts = cut(rows.distinct())
     nodes = parts.groupBy("node", "text", "print").agg(F.max("trusted").alias("trusted"))
     labelled = spread(near_pairs(nodes), nodes.where("trusted"))
