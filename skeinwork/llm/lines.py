@@ -325,6 +325,8 @@ def _extend(page: Page, x: np.ndarray, marks: np.ndarray) -> np.ndarray:
             y[i] = 0  # crumbs and menus
         elif f["label"] and not f["ends"] and not f["amount"] and own < 0.6 and f["head_evidence"] < 0.3:
             y[i] = 0  # links, tags and advertisements behind a label
+        elif not f["ends"] and f["digits"] and not f["amount"] and own < 0.6 and words >= 4:
+            y[i] = 0  # a link, tags or a byline: sub-headings have no numbers
         elif not f["ends"] and b > 0.5 and words >= 6 and own < 0.5:
             y[i] = 0  # a heading, but not the item's own
         elif not f["ends"] and 2 <= words <= 14 and a > 0.8 and b < 0.4 and not f["separators"] and not f["label"] and not f["digits"] and 0 < i < len(page.lines) - 1:
