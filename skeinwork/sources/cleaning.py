@@ -16,7 +16,8 @@ _TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
 #: What may stand before a bracket that opens code: a call, a definition, a rule of a style sheet, an assignment, or an embedded object.
 _BEFORE = re.compile(
     r"(?:@(?:media|supports|keyframes|font-face|-webkit-keyframes)[^{}<>]{0,240}|(?:\$|jQuery|window|document)[\w.$]*\s*\([^{}]{0,120}|\(?\s*(?:async\s+)?function\b[^{}()]{0,60}\([^{}()]{0,120}\)\s*"
-    r"|(?:var|let|const)?\s*[\w.$]+\s*=\s*(?:function\s*\([^{}()]{0,80}\)\s*)?|(?:if|for|while|else|try|catch)\b[^{}]{0,120}|[#.]?[\w\-]+(?:[\s,>+~.:#\[\]=\"^|\-]+[\w\-]+)*\s*)$"
+    r"|(?:var|let|const)?\s*[\w.$]+\s*=\s*(?:function\s*\([^{}()]{0,80}\)\s*)?|\b(?:if|for|while|else|try|catch)\b\s*(?:\([^{}]{0,120}\))?\s*"
+    r"|(?:(?:[#.][\w\-]+|\b(?:html|body|div|span|ul|ol|li|p|a|h[1-6]|img|table|tr|td|header|footer|nav|main|section|article|input|button|svg)\b)[.#:\[\w\-=\"'\]]*[\s,>+~]*)+)$"
 )
 _CODE_INSIDE = re.compile(r"[:;=(]|\"\s*:|\breturn\b")
 _CALLS = re.compile(r"@charset\s+[\"'][^\"']*[\"'];?|\b(?:gtag|addAdvertInfo)\s*\([^()]*(?:\([^()]*\)[^()]*)*\)\s*;?|window\.dataLayer\s*=\s*window\.dataLayer\s*\|\|\s*\[\]\s*;?|(?:var\s+)?_hmt\s*=\s*_hmt\s*\|\|\s*\[\]\s*;?")
@@ -54,18 +55,13 @@ def _without_blocks(text: str) -> str:
             continue
         before = text[at:start]
         lead = _BEFORE.search(before[-400:])
-        keep = len(before) - (len(lead.group(0)) if lead and not _sentence(lead.group(0)) else 0)
+        keep = len(before) - (len(lead.group(0)) if lead else 0)
         out.append(before[:keep] + " ")
         tail = re.compile(r"\s*\)*\s*(?:\([^(){}]{0,80}\))?\s*\)*\s*;?").match(text, end)
         at = tail.end() if lead and "(" in lead.group(0) else end
     return "".join([*out, text[at:]])
 
 
-def _sentence(lead: str) -> bool:
-    """Whether what stands before a bracket reads like prose: several plain words and no sign of code."""
-    return len(re.findall(r"[A-Za-z]{2,}", lead)) >= 5 and not re.search(r"[=($@.#:;]", lead)
-
-
 def clean(value: str | None) -> str:
     """One line of readable text: entities decoded, code, comments and tags removed, white space collapsed. Null becomes empty.
 

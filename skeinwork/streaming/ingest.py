@@ -93,6 +93,6 @@ def advanced_sources(sources: DataFrame, batch: DataFrame, checked_at: str) -> D
     joined = sources.join(seen, sources["id"] == seen["__seen"], "left")
     return joined.withColumns({
         "last_fetched_at": F.when(F.col("__seen").isNotNull(), F.lit(checked_at)).otherwise(F.col("last_fetched_at")),
-        "last_checked_at": F.when("enabled", F.lit(checked_at)).otherwise(F.col("last_checked_at")),
-        "last_error": F.when("enabled", F.lit(None).cast("string")).otherwise(F.col("last_error")),
+        "last_checked_at": F.when(F.col("enabled"), F.lit(checked_at)).otherwise(F.col("last_checked_at")),
+        "last_error": F.when(F.col("enabled"), F.lit(None).cast("string")).otherwise(F.col("last_error")),
     }).drop("__seen")
