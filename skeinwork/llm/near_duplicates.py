@@ -22,6 +22,8 @@ SEGMENT, SEGMENTS = 5, 64
 #: Bits of the sketch and the most that may differ: at similarity 0.5 half as many differ, 32 on average, and more than 50 once in 10,000.
 SKETCH, DIFFERING = 128, 50
 _VALUES = SEGMENT * SEGMENTS
+#: The most candidate pairs, counted before, whose ids (16 bytes a pair) are sent to the texts; beyond, both sides are shuffled.
+SENT_PAIRS = 500_000
 #: Rounds that throw all elements into bins before the remaining bins are filled one by one.
 ROUNDS = 3
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -57,8 +59,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def _sketches(width: int, kinds: tuple[str, ...]):
-    """(kind, id, copy, copy2, keys, s1, s2) of each text; copy and copy2 are 128 bits of the letters and digits themselves."""
+def _sketches(width: int):
+    """(id, copy, copy2, keys, s1, s2) of each text; copy and copy2 are 128 bits of the letters and digits themselves."""
     powers = np.uint64(1) << np.arange(64, dtype=np.uint64)
     salts = mix64(np.arange(1, SEGMENTS + 1, dtype=np.uint64))
 
@@ -108,25 +110,29 @@ def _verified(width: int, least: float):
     return run
 
 
-def classes(texts: DataFrame, width: int, least: float) -> tuple[DataFrame, DataFrame]:
+def classes(texts: DataFrame, width: int, least: float, left_out: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, links) of texts(id, text): members(id, rep) puts copies (equal letters and digits) into classes named by their smallest
     id, links(a, b, similarity), a < b, are all pairs of classes at least `least` similar.
 
     Null texts and texts without letters and digits are in no class. Ids must be unique; equal rows count once. A text shorter than
-    `width` is one stretch. A class of any number of copies is one row in the join, so a third of all rows in one class costs nothing.
+    `width` is one stretch. Ids in left_out(id) are passed over. A class of any number of copies is one row in the join, so a third of all rows in one class costs nothing.
     """
     narrow = texts.where(F.col("text").isNotNull()).select("id", "text")
-    sketched = cut(narrow.mapInArrow(_sketches(width, ()), "id bigint, copy bigint, copy2 bigint, keys array<bigint>, s1 bigint, s2 bigint").dropDuplicates(["id"]))
+    rows = narrow.mapInArrow(_sketches(width), "id bigint, copy bigint, copy2 bigint, keys array<bigint>, s1 bigint, s2 bigint").dropDuplicates(["id"])
+    # What is left out goes after the texts were reduced to sketches, so no text is shuffled for it.
+    sketched = cut(rows.join(left_out.select("id"), "id", "left_anti") if left_out is not None else rows)
     heads = sketched.groupBy("copy", "copy2").agg(F.min("id").alias("rep"))
     members = sketched.select("id", "copy", "copy2").join(heads, ["copy", "copy2"]).select("id", "rep")
     own = sketched.join(heads.select(F.col("rep").alias("id")), "id", "left_semi")
-    keyed = own.select("id", "s1", "s2", F.explode("keys").alias("key"))
-    left, right = (keyed.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "s1", "s2")]) for k in "ab")
+    keyed = own.select("id", F.explode("keys").alias("key"))
+    met = keyed.withColumnRenamed("id", "a").join(keyed.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b").distinct()
+    bits = lambda k: own.select(F.col("id").alias(k), *[F.col(s).alias(f"{s}_{k}") for s in ("s1", "s2")])
     apart: Column = F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b")))
-    near = left.join(right, "key").where((F.col("id_a") < F.col("id_b")) & (apart <= DIFFERING)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    bodies = lambda k: narrow.dropDuplicates(["id"]).select(F.col("id").alias(k), F.col("text").alias(f"t{k}"))
-    both = near.join(bodies("a"), "a").join(bodies("b"), "b")
-    return members, both.mapInArrow(_verified(width, least), "a bigint, b bigint, similarity double")
+    near = cut(met.join(bits("a"), "a").join(bits("b"), "b").where(apart <= DIFFERING).select("a", "b"))
+    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    compared = narrow.join(F.broadcast(wanted) if near.count() <= SENT_PAIRS else wanted, "id", "left_semi").dropDuplicates(["id"])
+    bodies = lambda k: compared.select(F.col("id").alias(k), F.col("text").alias(f"t{k}"))
+    return members, near.join(bodies("a"), "a").join(bodies("b"), "b").mapInArrow(_verified(width, least), "a bigint, b bigint, similarity double")
 
 
 def pairs(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -163,10 +169,9 @@ def groups(members: DataFrame, links: DataFrame) -> DataFrame:
 ITEMS, EVENTS = (8, 0.5), (3, 0.6)
 
 
-def item_texts(items: DataFrame, left_out: DataFrame) -> DataFrame:
-    """(id, text): title followed directly by raw_content, of items with non-blank raw_content whose id isn't in left_out(id)."""
-    kept = items.where(F.col("raw_content").rlike(r"(?U)\S")).join(left_out, "id", "left_anti")
-    return kept.select("id", F.concat(F.coalesce("title", F.lit("")), "raw_content").alias("text"))
+def item_texts(items: DataFrame) -> DataFrame:
+    """(id, text): title followed directly by raw_content, of items with non-blank raw_content."""
+    return items.where(F.col("raw_content").rlike(r"(?U)\S")).select("id", F.concat(F.coalesce("title", F.lit("")), "raw_content").alias("text"))
 
 
 def event_texts(events: DataFrame) -> DataFrame:
@@ -174,7 +179,7 @@ def event_texts(events: DataFrame) -> DataFrame:
 
 
 def found(items: DataFrame, events: DataFrame, left_out: DataFrame) -> DataFrame:
-    """Cases of problem 3: (kind, id_a, id_b)."""
-    one = pairs(*classes(item_texts(items, left_out), *ITEMS)).select(F.lit("item").alias("kind"), "id_a", "id_b")
+    """Cases of problem 3: (kind, id_a, id_b); items whose id is in left_out(id) take no part."""
+    one = pairs(*classes(item_texts(items), *ITEMS, left_out)).select(F.lit("item").alias("kind"), "id_a", "id_b")
     two = pairs(*classes(event_texts(events), *EVENTS)).select(F.lit("event").alias("kind"), "id_a", "id_b")
     return one.unionByName(two)
