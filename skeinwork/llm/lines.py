@@ -288,7 +288,7 @@ def fit(rows: list[tuple[str, str | None, str | None, int | None]]) -> LineModel
     for c in (story, furniture, heading):
         known.update({k: v for k, v in c.items() if v >= 3})
     keys = [k for k, _ in sorted(known.items(), key=lambda kv: (-kv[1], kv[0]))[:TOKENS]]
-    n = max(1, len(keys)) // 2
+    n = max(1, len(keys) // 2)
     a, b = _log_odds(story, furniture, keys, n), _log_odds(heading, story, keys, n)
     model = LineModel({k: (a[k], b[k]) for k in keys}, None)
     # Second look: kinds of lines the seeds don't reach, read off the token evidence and the form.

@@ -82,7 +82,7 @@ titel einfügen - text folgt
 \(请在此处填写正文\)
 此处插入导语,\d+字以内
 xxxx年xx月xx日,xx公司发布xx产品,xx表示xx
-([一-鿿]{2,8}?)\1{3,}
+([一-鿿]{2,8}?)\1{2,}
 (?:\b(?:asdf|qwer(?:ty)?|test|foo|bar|baz|blah|aaaa|bbbb|cccc|lorem|ipsum|xxxx|okok\w*|(?:test){2,}|(?:asd){2,}|x{4,}|1111|123)\b[ .,]*){2,}
 (?:\b(?:lorem|ipsum|dolor|sit|amet|consectetur|adipiscing|elit|sed|do|eiusmod|tempor|incididunt|ut|labore|et|dolore|magna|aliqua|enim|minim|veniam|quis|nostrud|exercitation|ullamco|laboris|nisi|aliquip|ex|ea|commodo|consequat|duis|aute|irure|in|reprehenderit|voluptate|velit|esse|cillum|eu|fugiat|nulla|pariatur|excepteur|sint|occaecat|cupidatat|non|proident|sunt|culpa|qui|officia|deserunt|mollit|anim|id|est|laborum)\b[ .,]*){5,}
 """
