@@ -43,7 +43,7 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 60, depth
     forest = Forest(edges, np.full((trees, 2**depth - 1), -1), np.zeros((trees, 2**depth - 1), np.int64), np.zeros((trees, 2**depth)), 0.0)
     b = forest.binned(x)
     width = bins + 1
-    offset = np.arange(x.shape[1]) * width
+    columns = [np.ascontiguousarray(b[:, j]).astype(np.int64) for j in range(x.shape[1])]
     mean = float((y * weight).sum() / weight.sum())
     forest.base = float(np.log(max(mean, 1e-6) / max(1 - mean, 1e-6)))
     margin = np.full(len(y), forest.base)
@@ -53,11 +53,8 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 60, depth
         node = np.zeros(len(y), np.int64)
         for level in range(depth):
             first, many = 2**level - 1, 2**level
-            local = node - first
-            flat = (local[:, None] * (len(offset) * width) + offset + b).ravel()
-            size = many * len(offset) * width
-            sum_g = np.bincount(flat, np.repeat(g, len(offset)), size).reshape(many, len(offset), width).cumsum(2)
-            sum_h = np.bincount(flat, np.repeat(h, len(offset)), size).reshape(many, len(offset), width).cumsum(2)
+            local = (node - first) * width
+            sum_g, sum_h = (np.stack([np.bincount(local + c, v, many * width).reshape(many, width) for c in columns], axis=1).cumsum(2) for v in (g, h))
             all_g, all_h = sum_g[:, :, -1:], sum_h[:, :, -1:]
             gain = sum_g**2 / (sum_h + ridge) + (all_g - sum_g) ** 2 / (all_h - sum_h + ridge) - all_g**2 / (all_h + ridge)
             gain[:, :, -1] = -1

@@ -23,7 +23,7 @@ from skeinwork.llm import boosting
 from skeinwork.llm.residue_words import residue_share
 
 #: Items the model is fitted on, chosen by a hash of their id; the most tokens it knows; items of a source in which furniture recurs.
-SAMPLE, TOKENS, RECURS = 4_000, 30_000, 4
+SAMPLE, TOKENS, RECURS = 3_000, 30_000, 4
 #: Cost, in log-odds, of keeping only a part of a run.
 MIXED = 1.5
 
