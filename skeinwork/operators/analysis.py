@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.functions import text as T
+from skeinwork.session import cut
 from skeinwork.vocab import AI, NEV, REFERENCE, Vocabulary
 
 
@@ -72,10 +73,11 @@ def richness() -> Column:
 def clusters(items: DataFrame, least_reliability: float = 0.65) -> DataFrame:
     """One row a cluster key: members, reliable sources, first and last fetch as text, and the representative's id.
 
-    items need reliability. The representative has the highest (reliability, 0.5 if null or 0; length; instant, 0 if unknown), then the
+    items need reliability, and either richness or the texts. The representative has the highest (reliability, 0.5 if null or 0; length; instant, 0 if unknown), then the
     smallest id. Everything is one partial and one final aggregate, so a hot key costs a row a task.
     """
-    rank = F.struct(F.coalesce(F.when(F.col("reliability") != 0, F.col("reliability")), F.lit(0.5)), richness(), F.coalesce(T.iso_seconds(F.col("published_at")), F.lit(0)), -F.col("id"))
+    size = F.col("richness") if "richness" in items.columns else richness()
+    rank = F.struct(F.coalesce(F.when(F.col("reliability") != 0, F.col("reliability")), F.lit(0.5)), size, F.coalesce(T.iso_seconds(F.col("published_at")), F.lit(0)), -F.col("id"))
     return items.groupBy(cluster_key(F.col("title")).alias("cluster_key")).agg(
         F.count("*").alias("members"), F.count_distinct(F.when(F.col("reliability") >= least_reliability, F.col("source_id"))).alias("reliable_sources"),
         F.min("fetched_at").alias("first_seen"), F.max("fetched_at").alias("last_seen"), F.max_by("id", rank).alias("representative_id"),
@@ -183,13 +185,14 @@ def rank_reason() -> Column:
 def analysed(raw: DataFrame, sources: DataFrame, now: int) -> DataFrame:
     """The whole chain over enabled sources: relevance, cluster statistics of the accepted items, classes, rank.
 
-    One shuffle for the cluster statistics; the text is read once and the statistics are joined back on the key.
+    All that comes from the text is computed in the scan; the narrow rows that are left are written once to the shared folder and feed
+    both the cluster statistics and the join back on the key, so no text is read twice or shuffled.
     """
     accepted = with_relevance(items_with_sources(raw, sources).where("enabled")).where("is_relevant")
-    keyed = accepted.withColumn("cluster_key", cluster_key(F.col("title")))
-    stats = clusters(accepted)
-    dated = with_classes(keyed).withColumns({"published_s": T.iso_seconds(F.col("published_at")), "fetched_s": T.iso_seconds(F.col("fetched_at"))})
-    return with_rank(dated.join(stats.select("cluster_key", "members", "reliable_sources", "representative_id"), "cluster_key"), now)
+    dated = with_classes(accepted).withColumns({"cluster_key": cluster_key(F.col("title")), "richness": richness(), "published_s": T.iso_seconds(F.col("published_at")), "fetched_s": T.iso_seconds(F.col("fetched_at"))})
+    narrow = cut(dated.drop("raw_content", "content_excerpt"))
+    stats = clusters(narrow)
+    return with_rank(narrow.join(stats.select("cluster_key", "members", "reliable_sources", "representative_id"), "cluster_key"), now)
 
 
 def newest_first(group: str, *order: Column) -> Window:
