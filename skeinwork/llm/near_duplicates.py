@@ -25,7 +25,7 @@ _VALUES = SEGMENT * SEGMENTS
 #: The most candidate pairs, counted before, whose ids (16 bytes a pair) are sent to the texts; beyond, both sides are shuffled.
 SENT_PAIRS = 500_000
 #: Rounds that throw all elements into bins before the remaining bins are filled one by one.
-ROUNDS = 3
+ROUNDS = 2
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SALTS = mix64(np.arange(1, ROUNDS + _VALUES + 1, dtype=np.uint64))
 
@@ -118,15 +118,18 @@ def classes(texts: DataFrame, width: int, least: float, left_out: DataFrame | No
     `width` is one stretch. Ids in left_out(id) are passed over. A class of any number of copies is one row in the join, so a third of all rows in one class costs nothing.
     """
     narrow = texts.where(F.col("text").isNotNull()).select("id", "text")
-    rows = narrow.mapInArrow(_sketches(width), "id bigint, copy bigint, copy2 bigint, keys array<bigint>, s1 bigint, s2 bigint").dropDuplicates(["id"])
-    # What is left out goes after the texts were reduced to sketches, so no text is shuffled for it.
-    sketched = cut(rows.join(left_out.select("id"), "id", "left_anti") if left_out is not None else rows)
-    heads = sketched.groupBy("copy", "copy2").agg(F.min("id").alias("rep"))
-    members = sketched.select("id", "copy", "copy2").join(heads, ["copy", "copy2"]).select("id", "rep")
-    own = sketched.join(heads.select(F.col("rep").alias("id")), "id", "left_semi")
+    # Written once, before any shuffle: texts are folded once, and the keys of a class move once, with the aggregate that makes it one row.
+    rows = cut(narrow.mapInArrow(_sketches(width), "id bigint, copy bigint, copy2 bigint, keys array<bigint>, s1 bigint, s2 bigint"))
+    ids = rows.select("id", "copy", "copy2").distinct()
+    kept = cut(ids.join(left_out.select("id"), "id", "left_anti") if left_out is not None else ids)
+    heads = kept.groupBy("copy", "copy2").agg(F.min("id").alias("rep"))
+    members = kept.join(heads, ["copy", "copy2"]).select("id", "rep")
+    classed = rows.groupBy("copy", "copy2").agg(*[F.first(c).alias(c) for c in ("keys", "s1", "s2")])
+    own = classed.join(heads, ["copy", "copy2"]).select(F.col("rep").alias("id"), "keys", "s1", "s2")
     keyed = own.select("id", F.explode("keys").alias("key"))
+    sketches = cut(own.select("id", "s1", "s2"))
     met = keyed.withColumnRenamed("id", "a").join(keyed.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b").distinct()
-    bits = lambda k: own.select(F.col("id").alias(k), *[F.col(s).alias(f"{s}_{k}") for s in ("s1", "s2")])
+    bits = lambda k: sketches.select(F.col("id").alias(k), *[F.col(s).alias(f"{s}_{k}") for s in ("s1", "s2")])
     apart: Column = F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b")))
     near = cut(met.join(bits("a"), "a").join(bits("b"), "b").where(apart <= DIFFERING).select("a", "b"))
     wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
