@@ -115,7 +115,8 @@ def classes(texts: DataFrame, width: int, least: float, left_out: DataFrame | No
     id, links(a, b, similarity), a < b, are all pairs of classes at least `least` similar.
 
     Null texts and texts without letters and digits are in no class. Ids must be unique; equal rows count once. A text shorter than
-    `width` is one stretch. Ids in left_out(id) are passed over. A class of any number of copies is one row in the join, so a third of all rows in one class costs nothing.
+    `width` is one stretch. Ids in left_out(id) are passed over. A class of any
+    number of copies is one row in the join, so a third of all rows in one class costs nothing.
     """
     narrow = texts.where(F.col("text").isNotNull()).select("id", "text")
     # Written once, before any shuffle: texts are folded once, and the keys of a class move once, with the aggregate that makes it one row.
