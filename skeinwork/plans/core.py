@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skeinwork.functions import text as T
 from skeinwork.operators import analysis as A
 from skeinwork.operators import ledger as L
+from skeinwork.operators import overrides as O
 from skeinwork.operators import serving as S
 from skeinwork.operators import timestamps
 from skeinwork.plans import sql
@@ -422,6 +423,19 @@ def profile_counts(t):
     return rows.groupingSets([["source_type"], ["status"], ["industry"]], "source_type", "status", "industry").agg(F.count("*").alias("n"))
 
 
+@query
+def class_overrides(t):
+    one = lambda *x: F.array(*[F.lit(v) for v in x])
+    payload = F.to_json(F.struct(one("动力电池").alias("industry_subtags"), one("产品发布").alias("event_types"), F.col("level").alias("importance_level"), one("投资机构").alias("subject_roles"), one("机会信号").alias("signal_attributes")))
+    answers = t.processed_items.groupBy(F.col("raw_item_id").alias("id")).agg(F.max("importance_level").alias("level")).select("id", payload.alias("payload"))
+    return O.with_class_overrides(t.classified(), answers).select("id", "importance", "class_mode", joined_names("event_types"))
+
+
+@query
+def bounded_text(t):
+    return t.items().select("id", O.bounded_text().alias("bounded")).select("id", F.length("bounded").alias("size"))
+
+
 @query
 def event_tumbling(t):
     day = F.date_trunc("day", F.col("ts"))

@@ -205,6 +205,7 @@ SQL: dict[str, str] = {
     "ledger_enrich": f"SELECT id, CASE WHEN source_id = 7 THEN 'screened' ELSE relevance_reason END AS relevance_reason FROM ({RAW})",
     "json_fields": f"SELECT id, coalesce(array_to_string(from_json(relevance_matched_terms_json, '[\"VARCHAR\"]'), '|'), '') AS terms FROM ({RAW})",
     "profile_counts": f"SELECT source_type, status, industry, count(*) AS n FROM (SELECT source_type, status, coalesce(relevance_industry, 'none') AS industry FROM ({ITEMS})) GROUP BY GROUPING SETS ((source_type), (status), (industry))",
+    "class_overrides": f"SELECT c.id, coalesce(p.level, c.importance) AS importance, CASE WHEN p.level IS NOT NULL THEN 'answer' ELSE 'rules' END AS class_mode, CASE WHEN p.level IS NOT NULL THEN '产品发布' ELSE array_to_string(event_types, '|') END AS event_types FROM ({CLASSED}) c LEFT JOIN (SELECT raw_item_id, max(importance_level) AS level FROM processed_items GROUP BY raw_item_id) p ON p.raw_item_id = c.id",
     "event_tumbling": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
     "event_dedupe": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1",
     "cosine_topk": """SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id AS neighbour_id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]))), 6) AS similarity,
