@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from sys import intern
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -268,9 +269,15 @@ def _log_odds(first: Counter, second: Counter, keys, n: int) -> dict[str, float]
     return {k: float(np.log((first[k] + 0.5) / a) - np.log((second[k] + 0.5) / b)) for k in keys}
 
 
+def _shared(page: Page) -> Page:
+    """The page with one string object for each token, as the driver holds the whole sample."""
+    page.words = [list(map(intern, words)) for words in page.words]
+    return page
+
+
 def fit(rows: list[tuple[str, str | None, str | None, int | None]]) -> LineModel:
     """rows: (raw_content, title, content_excerpt, source_id). Without enough labelled lines of both kinds the model keeps all lines."""
-    pages = [(parse(text, title), _NOTALNUM.sub("", folded(excerpt or "")), source) for text, title, excerpt, source in rows]
+    pages = [(_shared(parse(text, title)), _NOTALNUM.sub("", folded(excerpt or "")), source) for text, title, excerpt, source in rows]
     headings = [folded(t) for _, t, _, _ in rows if t]
     y = labels(pages, {_NOTALNUM.sub("", h) for h in headings})
     story, furniture, heading = Counter(), Counter(), Counter()
