@@ -26,7 +26,7 @@ _VALUES = SEGMENT * SEGMENTS
 SENT_PAIRS = 500_000
 #: Rounds that throw all elements into bins before the remaining bins are filled one by one.
 ROUNDS = 2
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_NONE, _HALF = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(32)
 _SALTS = mix64(np.arange(1, ROUNDS + _VALUES + 1, dtype=np.uint64))
 
 
@@ -39,13 +39,14 @@ def stretches(text: str, width: int) -> np.ndarray:
 def fingerprint(hashes: np.ndarray, size: int = _VALUES) -> np.ndarray:
     """A consistent MinHash of `size` values by one-permutation rounds: later rounds fill the bins that earlier ones leave empty.
 
-    Two sets agree in a bin with the probability of their Jaccard similarity, also when they have few elements.
+    Two sets agree in a bin with the probability of their Jaccard similarity, also when they have few elements. Hashes must be mixed;
+    repeated ones change nothing.
     """
     out = np.full(size, _NONE)
     for turn in range(ROUNDS):
-        mixed = mix64(hashes + _SALTS[turn])
+        mixed = mix64(hashes + _SALTS[turn]) if turn else hashes
         fresh = np.full(size, _NONE)
-        np.minimum.at(fresh, (mixed % np.uint64(size)).astype(np.int64), mixed)
+        np.minimum.at(fresh, (((mixed >> _HALF) * np.uint64(size)) >> _HALF).astype(np.int64), mixed)
         out = np.where(out == _NONE, fresh, out)
         rest = np.flatnonzero(out == _NONE)
         if not len(rest):
@@ -75,7 +76,7 @@ def _sketches(width: int):
                     continue
                 digest = xxhash.xxh3_128_intdigest(body.encode("utf-8", "surrogatepass"))
                 points = code_points(body)
-                values = fingerprint(np.unique(stretch_hashes(points, min(width, len(points)))))
+                values = fingerprint(stretch_hashes(points, min(width, len(points))))
                 with np.errstate(over="ignore"):
                     keys = salts.copy()
                     for part in values.reshape(SEGMENTS, SEGMENT).T:
@@ -102,7 +103,8 @@ def _verified(width: int, least: float):
                 x, y = known[a], known[b]
                 if min(len(x), len(y)) < least * max(len(x), len(y)):
                     continue
-                common = len(np.intersect1d(x, y, assume_unique=True))
+                few, many = (x, y) if len(x) <= len(y) else (y, x)
+                common = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
                 if common >= least * (len(x) + len(y) - common):
                     out.append((a, b, common / (len(x) + len(y) - common)))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())], names=["a", "b", "similarity"])

@@ -6,7 +6,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from skeinwork.functions.fold import alnum
+from skeinwork.functions.fold import alnum, mix64
 from skeinwork.llm import boosting, lines, main_text, near_duplicates, residue
 from skeinwork.llm.residue_words import residue_share
 
@@ -64,7 +64,7 @@ def test_fingerprints_agree_as_often_as_sets_are_similar():
     for n in (5, 40, 900):
         agree = []
         for _ in range(60):
-            x = rng.integers(0, 2**63, 2 * n).astype(np.uint64)
+            x = mix64(rng.integers(0, 2**63, 2 * n).astype(np.uint64))
             common = int(n * 0.75)  # n elements each, 0.6 alike
             agree.append((near_duplicates.fingerprint(np.unique(x[:n])) == near_duplicates.fingerprint(np.unique(x[n - common : 2 * n - common]))).mean())
         assert abs(np.mean(agree) - common / (2 * n - common)) < 0.04
