@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions.fold import folded
 from skeinwork.llm import boosting
-from skeinwork.llm.residue_words import residue_share
+from skeinwork.llm.residue_words import notice, residue_share
 
 #: Items the model is fitted on, chosen by a hash of their id; the most tokens it knows; items of a source in which furniture recurs.
 SAMPLE, TOKENS, RECURS = 3_000, 30_000, 4
@@ -231,7 +231,7 @@ class LineModel:
         if len(words) < 5:
             return False
         a, b, known = self.evidence(words)
-        return a * min(len(words), 40) > 5 and a > 0.5 and known > 0.3 and b < 0.3 and residue_share(clean) <= 0.6
+        return a * min(len(words), 40) > 5 and a > 0.5 and known > 0.3 and b < 0.3 and residue_share(clean) <= 0.6 and not notice(clean)
 
 
 def labels(pages: list[tuple[Page, str, int | None]], titles: set[str]) -> list[np.ndarray]:

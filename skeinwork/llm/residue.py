@@ -1,7 +1,7 @@
 """Template residue, filler, error pages and script notices instead of content (problem 4).
 
-Values without any running text of a story are taken apart into lines. Lines that trusted marks of residue cover are labelled; the rest
-gets its labels by way of near-duplicates: partitioned SimHash tables give pairs, Hamming distance and text similarity verify them,
+Values without any running text of a story are taken apart into lines. Lines that trusted marks of residue cover, or that are made of the
+parts of a notice, are labelled; the rest gets its labels by way of near-duplicates: partitioned SimHash tables give pairs, Hamming distance and text similarity verify them,
 and labels spread through the connected components. A value with a labelled line is a case.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions.fold import code_points, folded, stretch_hashes
 from skeinwork.llm import lines
-from skeinwork.llm.residue_words import residue_share
+from skeinwork.llm.residue_words import notice, residue_share
 from skeinwork.session import cut
 
 #: Blocks of a 64-bit fingerprint, blocks that must be equal in a table (so two fingerprints with up to BLOCKS - EQUAL differing bits
@@ -67,7 +67,8 @@ def _storyless(model: lines.LineModel, fields: tuple[str, ...]):
                         continue
                     for line in lacks_story(text):
                         key = masked(line)
-                        trusted = residue_share(folded(line).strip()) > COVERED
+                        clean = lines.unwrapped(folded(line))
+                        trusted = residue_share(folded(line).strip()) > COVERED or notice(clean)
                         points = code_points(key)
                         node = int(stretch_hashes(points, len(points))[0].astype(np.int64)) if key else 0
                         out.append((i, field, node, key, trusted, fingerprint(key)))

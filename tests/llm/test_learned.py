@@ -8,7 +8,7 @@ import pytest
 
 from skeinwork.functions.fold import alnum, mix64
 from skeinwork.llm import boosting, lines, main_text, near_duplicates, residue
-from skeinwork.llm.residue_words import residue_share
+from skeinwork.llm.residue_words import notice, residue_share
 
 ITEMS = "id long, source_id long, title string, raw_content string, content_excerpt string, text string, node long, lines string, print long"
 FOLDER = Path("/root/testdata/sf0.001")
@@ -129,6 +129,24 @@ def test_residue(spark):
     assert not {i for i, _ in got} & ({r[0] for r in rows} | {1003})
 
 
+#: Wordings that no mark lists.
+UNLISTED = ["This page could not be loaded. Please check the address.", "The server is overloaded, please wait and reload.", "Error 418: connection refused by gateway", "Scripts must be enabled to display this page", "网页无法访问,请刷新重试", "请启用脚本后重新访问", "Die Webseite konnte nicht geladen werden, bitte später erneut prüfen.", "Ohne JavaScript wird der Artikel nicht angezeigt", "[headline placeholder] insert text here", "wort wort wort wort"]
+
+
+def test_notices_without_a_mark():
+    told = ["without javascript the console of rahelawyn dynamics shows nothing, so the traders wait", "home | news | sign in | jobs board", "we use cookies to run this site. accept all", "share this story: mail print", "the plant could not sell 404 cells last week, as costs fell", "服务器厂商宣布新增产能十万套,交付恢复", "der hersteller konnte 40 busse nicht liefern", ""]
+    assert not [x for x in UNLISTED if residue_share(x.lower()) > residue.COVERED]
+    assert all(notice(x.lower()) for x in UNLISTED), [x for x in UNLISTED if not notice(x.lower())]
+    assert not [x for x in told if notice(x)]
+
+
+def test_residue_in_unlisted_words(spark):
+    rows, _ = synthetic()
+    bad = [(1000 + k, k % 2, "t", f"Home | News | Sign in | Jobs board\n{x}", None) for k, x in enumerate(UNLISTED)]
+    got = {tuple(r) for r in residue.found(items(spark, rows + bad)).collect()}
+    assert got == {(r[0], "raw_content") for r in bad}
+
+
 def test_models_without_labels(spark):
     one = items(spark, [(1, 1, "t", "a line\nanother", None)])
     assert residue.found(one).count() == 0 and main_text.found(one).count() == 0
