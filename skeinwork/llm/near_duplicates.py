@@ -1,7 +1,7 @@
 """Near-duplicate records with small edits (problem 3).
 
-Exact copies are one class, whatever their number. Each class has a consistent MinHash fingerprint; its segments, of SEGMENT values
-each, are keys. Classes that share a key and whose bit sketches are near are compared exactly on their whole stretch sets. README says
+Exact copies are one class, whatever their number. Each class has a consistent MinHash fingerprint; its segments of a few values
+each are keys. Classes that share a key and whose bit sketches are near are compared exactly on their whole stretch sets. README says
 why the segments are MinHash values rather than Golay codewords.
 """
 
@@ -17,11 +17,10 @@ from pyspark.sql import functions as F
 from skeinwork.functions.fold import alnum, code_points, mix64, stretch_hashes
 from skeinwork.session import cut
 
-#: Values of a segment and number of segments: at similarity 0.6 a pair shares none of the keys once in 180 times, at 0.65 once in 2,700.
-SEGMENT, SEGMENTS = 5, 64
+#: MinHash values of a text, and the most pairs just as similar as asked for that may share no key: one in a hundred.
+_VALUES, LOST = 320, 0.01
 #: Bits of the sketch and the most that may differ: at similarity 0.5 half as many differ, 32 on average, and more than 50 once in 10,000.
 SKETCH, DIFFERING = 128, 50
-_VALUES = SEGMENT * SEGMENTS
 #: The most candidate pairs, counted before, whose ids (16 bytes a pair) are sent to the texts; beyond, both sides are shuffled.
 SENT_PAIRS = 500_000
 #: Rounds that throw all elements into bins before the remaining bins are filled one by one.
@@ -56,14 +55,23 @@ def fingerprint(hashes: np.ndarray, size: int = _VALUES) -> np.ndarray:
     return out
 
 
+def segments(least: float) -> tuple[int, int]:
+    """(values of a segment, number of segments): the longest segments that lose at most LOST of the pairs at similarity `least`.
+
+    At 0.5 segments of 4, which lose one pair in 175 there and one in 2,200 at 0.55; at 0.6 of 5, which lose one in 178 there.
+    """
+    size = next((n for n in (5, 4, 3, 2) if (1 - least**n) ** (_VALUES // n) <= LOST), 1)
+    return size, _VALUES // size
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def _sketches(width: int):
+def _sketches(width: int, segment: int, many: int):
     """(id, copy, copy2, keys, s1, s2) of each text; copy and copy2 are 128 bits of the letters and digits themselves."""
     powers = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    salts = mix64(np.arange(1, SEGMENTS + 1, dtype=np.uint64))
+    salts = mix64(np.arange(1, many + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -79,7 +87,7 @@ def _sketches(width: int):
                 values = fingerprint(stretch_hashes(points, min(width, len(points))))
                 with np.errstate(over="ignore"):
                     keys = salts.copy()
-                    for part in values.reshape(SEGMENTS, SEGMENT).T:
+                    for part in values[: many * segment].reshape(many, segment).T:
                         keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + part)
                 bits = (mix64(values[:SKETCH]) & np.uint64(1)) == 1
                 s1, s2 = (powers[bits[k : k + 64]].sum(dtype=np.uint64) for k in (0, 64))
@@ -122,7 +130,7 @@ def classes(texts: DataFrame, width: int, least: float, left_out: DataFrame | No
     """
     narrow = texts.where(F.col("text").isNotNull()).select("id", "text")
     # Written once, before any shuffle: texts are folded once, and the keys of a class move once, with the aggregate that makes it one row.
-    rows = cut(narrow.mapInArrow(_sketches(width), "id bigint, copy bigint, copy2 bigint, keys array<bigint>, s1 bigint, s2 bigint"))
+    rows = cut(narrow.mapInArrow(_sketches(width, *segments(least)), "id bigint, copy bigint, copy2 bigint, keys array<bigint>, s1 bigint, s2 bigint"))
     ids = rows.select("id", "copy", "copy2").distinct()
     kept = cut(ids.join(left_out.select("id"), "id", "left_anti") if left_out is not None else ids)
     heads = kept.groupBy("copy", "copy2").agg(F.min("id").alias("rep"))

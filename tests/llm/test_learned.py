@@ -52,6 +52,23 @@ def test_near_pairs_against_brute_force(spark, width, least):
     assert set(groups) == set(real) and all(groups[a] == groups[b] for a, b in got)
 
 
+def test_recall_just_above_the_least_similarity(spark):
+    rng = random.Random(6)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    texts = []
+    for k in range(600):
+        n, alike = rng.randint(200, 1500), 0.502 + 0.098 * k / 600
+        same = int(n * 2 * alike / (1 + alike)) + 8
+        head = letters(same)
+        texts += [head + letters(n + 7 - same), head + letters(n + 7 - same)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {tuple(r) for r in near_duplicates.pairs(*near_duplicates.classes(rows, *near_duplicates.ITEMS)).collect()}
+    want = {(2 * k, 2 * k + 1) for k in range(600)}
+    assert all(0.5 <= jaccard(texts[a], texts[b], 8) <= 0.61 for a, b in want)
+    assert not got - want
+    assert len(got) >= 0.99 * len(want), len(got)
+
+
 def test_near_pairs_leave_out_and_empty(spark):
     rows = spark.createDataFrame([(1, "the same words are here"), (2, "the same words are here"), (3, "the same words are here!")], "id long, text string")
     out = near_duplicates.classes(rows, 8, 0.5, spark.createDataFrame([(2,)], "id long"))
