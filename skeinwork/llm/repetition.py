@@ -58,8 +58,10 @@ def score(documents: DataFrame, width: int = WIDTH, share: float = SHARE, truste
     counts = documents.select("doc_id", "text").mapInArrow(_count(width), "doc_id bigint, total bigint, repeated bigint").persist()
     is_trusted = F.col("repeated") <= F.col("total") * trusted
     sums = counts.agg(*[F.coalesce(F.sum(F.when(keep, F.col(c))), F.lit(0)).alias(f"{c}_{k}") for k, keep in (("raw", F.lit(True)), ("trusted", is_trusted)) for c in ("total", "repeated")]).first()
-    rate = {k: (sums[f"repeated_{k}"] + 1) / (sums[f"total_{k}"] + 2) for k in ("raw", "trusted")}
-    # Without any repetition in the corpus both rates are one; then a document can have none either.
+    rate = {"raw": (sums["repeated_raw"] + 1) / (sums["total_raw"] + 2)}
+    # The raw rate is the prior of the trusted one, which so never exceeds it: more repetition never scores higher. Without a trusted
+    # document the two are equal, every score is 0 and the exact comparison decides.
+    rate["trusted"] = (sums["repeated_trusted"] + 2 * rate["raw"]) / (sums["total_trusted"] + 2)
     low = math.log(rate["trusted"] / rate["raw"])
     high = math.log((1 - rate["trusted"]) / (1 - rate["raw"]))
     cut = share * low + (1 - share) * high

@@ -80,6 +80,17 @@ def test_repetition_of_nothing(spark):
     assert repetition.found(docs(spark, [(1, "z" * 400)])).count() == 1
 
 
+def test_repetition_without_a_trusted_document(spark):
+    fresh = lambda n, at: "".join(chr(0x4E00 + at + k) for k in range(n))
+    rows = [(i, fresh(100 - n, 200 * i) + fresh(100, 5000 + 200 * i)[:n] * 2) for i, n in enumerate((36, 40, 44, 60, 80))]
+    shares = {i: repetition.repeated_characters(t) for i, t in rows}
+    assert all(0.25 < r / n < 0.45 for n, r in shares.values()), shares
+    want = {i for i, (n, r) in shares.items() if r >= 0.3 * n}
+    got = repetition.score(docs(spark, rows)).collect()
+    assert want and {r["doc_id"] for r in got if r["is_repetitive"]} == want
+    assert {r["doc_id"] for r in repetition.found(docs(spark, [rows[4]])).collect()} == {4}
+
+
 def test_share_on_the_edge_is_a_case(spark):
     fresh = "".join(chr(0x4E00 + i) for i in range(140))
     text = fresh + fresh[:60]  # 60 repeated of 200
