@@ -2,8 +2,8 @@
 
 A positional inverted index over the letters and digits: terms are stretches of TERM characters. Of each test item every STEP-th stretch
 is a term, so any PASSAGE characters of it hold two neighbouring terms whole. Training postings (term, document, place) are stored for
-test terms only; lists are intersected from an item's rarest term of each pair, places adjusted by the offset between the two, and what
-is left is extended and compared character by character.
+test terms only; they are all joined to the items' terms, whatever their frequency, and kept where two neighbouring terms of an item
+stand at one shift. What is left is extended and compared character by character. Only exact passages count.
 """
 
 from __future__ import annotations
