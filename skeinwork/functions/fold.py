@@ -7,10 +7,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import cache
 
 import numpy as np
 
 _NOT_ALNUM = re.compile(r"[\W_]+")
+#: What each code point folds to where its neighbours can't matter: a letter or digit, 0 for anything else; filled as code points are met.
+_UNKNOWN, _SLOW = -2, -1
+_TABLE = np.full(0x110000, _UNKNOWN, np.int32)
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -31,6 +35,39 @@ def alnum(text: str) -> str:
     return _NOT_ALNUM.sub("", folded(text))
 
 
+@cache
+def _joining() -> frozenset[str]:
+    """Characters that may change with what stands before them: combining marks and all second halves of a composition."""
+    halves = (unicodedata.decomposition(chr(c)).split() for c in range(0x20000))
+    second = {chr(int(h[1], 16)) for h in halves if len(h) == 2 and not h[0].startswith("<")}
+    jamo = map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)])
+    return frozenset(second.union(jamo))
+
+
+def _folded_point(code: int) -> int:
+    char = chr(code)
+    image = unicodedata.normalize("NFKC", char)
+    if "Σ" in image or any(unicodedata.combining(c) or c in _joining() for c in char + image):
+        return _SLOW
+    kept = "".join(filter(str.isalnum, image.lower()))
+    return _SLOW if len(kept) > 1 or (kept and len(image.lower()) > 1) else ord(kept) if kept else 0
+
+
+def _looked_up(points: np.ndarray) -> np.ndarray:
+    out = _TABLE[points]
+    if out.min(initial=0) == _UNKNOWN:
+        for code in np.unique(points[out == _UNKNOWN]).tolist():
+            _TABLE[code] = _folded_point(code)
+        out = _TABLE[points]
+    return out
+
+
+def alnum_points(text: str) -> np.ndarray:
+    """code_points(alnum(text)), by one table look-up where no character depends on its neighbours."""
+    out = _looked_up(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
+    return code_points(alnum(text)) if out.min(initial=0) < 0 else out[out > 0].astype(np.uint64)
+
+
 def code_points(text: str) -> np.ndarray:
     """Code points as uint64; lone surrogates pass through."""
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
