@@ -275,8 +275,11 @@ def _shared(page: Page) -> Page:
     return page
 
 
-def fit(rows: list[tuple[str, str | None, str | None, int | None]]) -> LineModel:
-    """rows: (raw_content, title, content_excerpt, source_id). Without enough labelled lines of both kinds the model keeps all lines."""
+def fit(rows: list[tuple[str, str | None, str | None, int | None]], trees: bool = True) -> LineModel:
+    """rows: (raw_content, title, content_excerpt, source_id). Without enough labelled lines of both kinds the model keeps all lines.
+
+    trees: whether it is to tell the lines of pages apart; running_text() needs the evidence of tokens only.
+    """
     pages = [(_shared(parse(text, title)), _NOTALNUM.sub("", folded(excerpt or "")), source) for text, title, excerpt, source in rows]
     headings = [folded(t) for _, t, _, _ in rows if t]
     y = labels(pages, {_NOTALNUM.sub("", h) for h in headings})
@@ -298,6 +301,8 @@ def fit(rows: list[tuple[str, str | None, str | None, int | None]]) -> LineModel
     n = max(1, len(keys) // 2)
     a, b = _log_odds(story, furniture, keys, n), _log_odds(heading, story, keys, n)
     model = LineModel({k: (a[k], b[k]) for k in keys}, None)
+    if not trees:
+        return model
     # Second look: kinds of lines the seeds don't reach, read off the token evidence and the form.
     x, _, _ = model.features([p for p, _, _ in pages])
     ends = np.concatenate(([0], np.cumsum([len(p.lines) for p, _, _ in pages])))

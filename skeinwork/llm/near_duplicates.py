@@ -7,6 +7,7 @@ why the segments are MinHash values rather than Golay codewords.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,90 +15,153 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.functions.fold import alnum, code_points, mix64, stretch_hashes
-from skeinwork.session import cut
+from skeinwork.functions.fold import alnum_points, code_points, mix64, stretch_hashes
+from skeinwork.session import cut, stored
 
-#: MinHash values of a text, and the most pairs just as similar as asked for that may share no key: one in a hundred.
-_VALUES, LOST = 320, 0.01
-#: Bits of the sketch and the most that may differ: at similarity 0.5 half as many differ, 32 on average, and more than 50 once in 10,000.
-SKETCH, DIFFERING = 128, 50
-#: The most candidate pairs, counted before, whose ids (16 bytes a pair) are sent to the texts; beyond, both sides are shuffled.
-SENT_PAIRS = 500_000
+#: The most pairs just as similar as asked for that may share no key: one in a hundred.
+LOST = 0.01
+#: Bits of the sketch, at most as many as MinHash values, and standard deviations above the mean that two sketches may differ by.
+SKETCH, SPREAD = 256, 4.5
 #: Rounds that throw all elements into bins before the remaining bins are filled one by one.
-ROUNDS = 2
+ROUNDS = 129
+#: Letters and digits and texts worked on at a time, so that arrays stay in the processor's cache.
+CHUNK, TEXTS = 12_000, 128
+#: Texts a task remembers, so that a copy's keys are not made again; forgetting costs time only.
+REMEMBERED = 100_000
 _NONE, _HALF = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(32)
-_SALTS = mix64(np.arange(1, ROUNDS + _VALUES + 1, dtype=np.uint64))
+_SALTS = mix64(np.arange(1, 1025, dtype=np.uint64))
 
 
-def stretches(text: str, width: int) -> np.ndarray:
-    """Sorted distinct hashes of all stretches of `width` letters and digits of the folded text; of a shorter one, its own hash."""
-    points = code_points(alnum(text))
-    return np.unique(stretch_hashes(points, min(width, max(1, len(points)))))
+def stretches(points: np.ndarray, width: int) -> np.ndarray:
+    """Sorted distinct hashes of all stretches of `width` letters and digits; of a shorter text, its own hash."""
+    hashes = np.sort(stretch_hashes(points, min(width, max(1, len(points)))))
+    return hashes[np.concatenate(([True], hashes[1:] != hashes[:-1]))] if len(hashes) else hashes
 
 
-def fingerprint(hashes: np.ndarray, size: int = _VALUES) -> np.ndarray:
-    """A consistent MinHash of `size` values by one-permutation rounds: later rounds fill the bins that earlier ones leave empty.
+def fingerprints(hashes: np.ndarray, rows: np.ndarray, many: int, size: int) -> np.ndarray:
+    """Consistent MinHash values, many x size, of the sets that `rows` (0 to many - 1, none empty) assigns the hashes to.
 
-    Two sets agree in a bin with the probability of their Jaccard similarity, also when they have few elements. Hashes must be mixed;
-    repeated ones change nothing.
+    One-permutation rounds: later rounds fill the bins that earlier ones leave empty. Two sets agree in a bin with the probability of
+    their Jaccard similarity, also when they have few elements. Hashes must be mixed; repeated ones change nothing.
     """
-    out = np.full(size, _NONE)
+    out = np.full(many * size, _NONE)
+    left, of = hashes, rows
     for turn in range(ROUNDS):
-        mixed = mix64(hashes + _SALTS[turn]) if turn else hashes
-        fresh = np.full(size, _NONE)
-        np.minimum.at(fresh, (((mixed >> _HALF) * np.uint64(size)) >> _HALF).astype(np.int64), mixed)
-        out = np.where(out == _NONE, fresh, out)
-        rest = np.flatnonzero(out == _NONE)
-        if not len(rest):
-            return out
+        mixed = mix64(left + _SALTS[turn]) if turn else left
+        slot = of * size + (((mixed >> _HALF) * np.uint64(size)) >> _HALF).astype(np.int64)
+        free = out[slot] == _NONE
+        np.minimum.at(out, slot[free], mixed[free])
+        if turn & (turn - 1) == 0 or turn == ROUNDS - 1:  # looked at seldom, for most texts are done after the second or third round
+            open_rows = (out.reshape(many, size) == _NONE).any(1)
+            if not open_rows.any():
+                break
+            keep = open_rows[of]
+            left, of = left[keep], of[keep]
+    out = out.reshape(many, size)
     # Few elements: every bin still empty takes the smallest of a permutation of its own.
-    out[rest] = mix64(hashes[None, :] ^ _SALTS[ROUNDS + rest][:, None]).min(1)
+    for row in np.flatnonzero(open_rows):
+        rest = np.flatnonzero(out[row] == _NONE)
+        out[row, rest] = mix64(left[of == row][None, :] ^ _SALTS[ROUNDS + rest][:, None]).min(1)
     return out
 
 
 def segments(least: float) -> tuple[int, int]:
-    """(values of a segment, number of segments): the longest segments that lose at most LOST of the pairs at similarity `least`.
+    """(values of a segment, number of segments): the fewest segments of the longest size that lose at most LOST of the pairs at `least`.
 
-    At 0.5 segments of 4, which lose one pair in 175 there and one in 2,200 at 0.55; at 0.6 of 5, which lose one in 178 there.
+    At 0.5 they are 72 of 4, which lose one pair in 105 there and one in 1,000 at 0.55; at 0.6 they are 57 of 5.
     """
-    size = next((n for n in (5, 4, 3, 2) if (1 - least**n) ** (_VALUES // n) <= LOST), 1)
-    return size, _VALUES // size
+    needed = lambda n: math.ceil(math.log(LOST) / math.log(1 - least**n))
+    size = next((n for n in (5, 4, 3, 2) if n * needed(n) <= 320), 1)
+    return size, needed(size)
+
+
+def differing(least: float) -> int:
+    """The most bits in which the sketches of texts `least` similar may differ: half the share of values that do, and SPREAD deviations."""
+    share = (1 - least) / 2
+    return int(SKETCH * share + SPREAD * math.sqrt(SKETCH * share * (1 - share)))
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+_WORDS = [f"s{k}" for k in range(SKETCH // 64)]
+_TYPES = {"id": pa.int64(), "copy": pa.int64(), "copy2": pa.int64(), "keys": pa.list_(pa.int64())} | {w: pa.int64() for w in _WORDS}
+_ROWS = "id bigint, copy bigint, copy2 bigint, keys array<bigint>, " + ", ".join(f"{w} bigint" for w in _WORDS)
+
+
 def _sketches(width: int, segment: int, many: int):
-    """(id, copy, copy2, keys, s1, s2) of each text; copy and copy2 are 128 bits of the letters and digits themselves."""
+    """(id, copy, copy2, keys, s0 ...) of each text; copy and copy2 are 128 bits of the letters and digits themselves.
+
+    A text that the task has met before has neither keys nor sketch: the row of the first one speaks for it.
+    """
+    size = max(segment * many, SKETCH)
     powers = np.uint64(1) << np.arange(64, dtype=np.uint64)
     salts = mix64(np.arange(1, many + 1, dtype=np.uint64))
 
+    def sketched(bodies: list[np.ndarray]) -> tuple[list, list]:
+        sizes = np.array([len(x) for x in bodies])
+        points = np.concatenate(bodies)
+        whole = stretch_hashes(points, width)
+        at = np.arange(len(whole))
+        row = np.repeat(np.arange(len(bodies)), sizes)[: len(whole)]
+        inside = at + width <= np.cumsum(sizes)[row]
+        short = np.flatnonzero(sizes < width)
+        hashes = np.concatenate([whole[inside], *[stretch_hashes(bodies[k], len(bodies[k])) for k in short]])
+        values = fingerprints(hashes, np.concatenate([row[inside], short]), len(bodies), size)
+        keys = np.repeat(salts[None, :], len(bodies), 0)
+        with np.errstate(over="ignore"):
+            for k in range(segment):
+                keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + values[:, k : segment * many : segment])
+        bits = (mix64(values[:, :SKETCH]) & np.uint64(1)).reshape(len(bodies), -1, 64)
+        return _signed(keys).tolist(), _signed((bits * powers).sum(2, dtype=np.uint64)).tolist()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        seen: set[bytes] = set()
         for batch in batches:
-            rows: list[tuple] = []
+            rows: list[list] = []
+            waiting: list[tuple[int, np.ndarray]] = []
+
+            def flush() -> None:
+                if waiting:
+                    for (n, _), keys, words in zip(waiting, *sketched([x for _, x in waiting])):
+                        rows[n][3:] = [keys, *words]
+                    waiting.clear()
+
+            load = 0
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                body = alnum(text)
-                if not body:
+                points = alnum_points(text)
+                if not len(points):
+                    continue
+                digest = xxhash.xxh3_128_intdigest(points.tobytes())
+                rows.append([i, (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63), None, *[None] * len(_WORDS)])
+                exact = xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+                if exact in seen:
                     continue
-                digest = xxhash.xxh3_128_intdigest(body.encode("utf-8", "surrogatepass"))
-                points = code_points(body)
-                values = fingerprint(stretch_hashes(points, min(width, len(points))))
-                with np.errstate(over="ignore"):
-                    keys = salts.copy()
-                    for part in values[: many * segment].reshape(many, segment).T:
-                        keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + part)
-                bits = (mix64(values[:SKETCH]) & np.uint64(1)) == 1
-                s1, s2 = (powers[bits[k : k + 64]].sum(dtype=np.uint64) for k in (0, 64))
-                rows.append((i, (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63), _signed(keys).tolist(), int(np.uint64(s1).astype(np.int64)), int(np.uint64(s2).astype(np.int64))))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["id", "copy", "copy2", "keys", "s1", "s2"])
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(exact)
+                waiting.append((len(rows) - 1, points))
+                load += len(points)
+                if load >= CHUNK or len(waiting) >= TEXTS:
+                    flush()
+                    load = 0
+            flush()
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_TYPES.values())], names=list(_TYPES))
 
     return run
 
 
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, body): the letters and digits alone."""
+    for batch in batches:
+        points = [alnum_points(x) for x in batch.column("text").to_pylist()]
+        texts = [x.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass") for x in points]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], names=["id", "body"])
+
+
 def _verified(width: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +171,7 @@ def _verified(width: int, least: float):
             for a, b, ta, tb in zip(*columns):
                 for i, t in ((a, ta), (b, tb)):
                     if i not in known:
-                        known[i] = stretches(t, width)
+                        known[i] = stretches(code_points(t), width)
                 x, y = known[a], known[b]
                 if min(len(x), len(y)) < least * max(len(x), len(y)):
                     continue
@@ -125,28 +189,29 @@ def classes(texts: DataFrame, width: int, least: float, left_out: DataFrame | No
     id, links(a, b, similarity), a < b, are all pairs of classes at least `least` similar.
 
     Null texts and texts without letters and digits are in no class. Ids must be unique; equal rows count once. A text shorter than
-    `width` is one stretch. Ids in left_out(id) are passed over. A class of any
-    number of copies is one row in the join, so a third of all rows in one class costs nothing.
+    `width` is one stretch. Ids in left_out(id) are passed over; equal texts must be left out together. A class of any number of copies
+    is one row in the join, so a third of all rows in one class costs nothing. One plan at every size: keys move once, pairs and sketches
+    are narrow, and only candidates' letters and digits move.
     """
     narrow = texts.where(F.col("text").isNotNull()).select("id", "text")
-    # Written once, before any shuffle: texts are folded once, and the keys of a class move once, with the aggregate that makes it one row.
-    rows = cut(narrow.mapInArrow(_sketches(width, *segments(least)), "id bigint, copy bigint, copy2 bigint, keys array<bigint>, s1 bigint, s2 bigint"))
-    ids = rows.select("id", "copy", "copy2").distinct()
-    kept = cut(ids.join(left_out.select("id"), "id", "left_anti") if left_out is not None else ids)
-    heads = kept.groupBy("copy", "copy2").agg(F.min("id").alias("rep"))
-    members = kept.join(heads, ["copy", "copy2"]).select("id", "rep")
-    classed = rows.groupBy("copy", "copy2").agg(*[F.first(c).alias(c) for c in ("keys", "s1", "s2")])
-    own = classed.join(heads, ["copy", "copy2"]).select(F.col("rep").alias("id"), "keys", "s1", "s2")
-    keyed = own.select("id", F.explode("keys").alias("key"))
-    sketches = cut(own.select("id", "s1", "s2"))
-    met = keyed.withColumnRenamed("id", "a").join(keyed.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b").distinct()
-    bits = lambda k: sketches.select(F.col("id").alias(k), *[F.col(s).alias(f"{s}_{k}") for s in ("s1", "s2")])
-    apart: Column = F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b")))
-    near = cut(met.join(bits("a"), "a").join(bits("b"), "b").where(apart <= DIFFERING).select("a", "b"))
-    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    compared = narrow.join(F.broadcast(wanted) if near.count() <= SENT_PAIRS else wanted, "id", "left_semi").dropDuplicates(["id"])
-    bodies = lambda k: compared.select(F.col("id").alias(k), F.col("text").alias(f"t{k}"))
-    return members, near.join(bodies("a"), "a").join(bodies("b"), "b").mapInArrow(_verified(width, least), "a bigint, b bigint, similarity double")
+    # Written once, before any shuffle: texts are folded once, and only distinct texts of a task have keys.
+    rows = cut(narrow.mapInArrow(_sketches(width, *segments(least)), _ROWS))
+    if left_out is not None:
+        rows = rows.join(stored(left_out.select("id").distinct()), "id", "left_anti")
+    first = [F.first(c, ignorenulls=True).alias(c) for c in _WORDS]
+    own = cut(rows.groupBy("copy", "copy2").agg(F.min("id").alias("rep"), *first))
+    members = rows.select("id", "copy", "copy2").join(own.select("copy", "copy2", "rep"), ["copy", "copy2"]).select("id", "rep").distinct()
+    keyed = rows.where(F.col("keys").isNotNull()).select("copy", F.explode("keys").alias("key"))
+    met = keyed.withColumnRenamed("copy", "copy_a").join(keyed.withColumnRenamed("copy", "copy_b"), "key").where("copy_a < copy_b").select("copy_a", "copy_b").distinct()
+    # 64 of the 128 bits name a class here; should two ever share them, both are looked up and compared.
+    of = lambda k: own.select(F.col("copy").alias(f"copy_{k}"), F.col("rep").alias(k), *[F.col(w).alias(f"{w}_{k}") for w in _WORDS])
+    apart: Column = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in _WORDS), F.lit(0))
+    near = stored(met.join(of("a"), "copy_a").join(of("b"), "copy_b").where(apart <= differing(least)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    wanted = stored(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    compared = narrow.join(wanted, "id", "left_semi").mapInArrow(_bodies, "id bigint, body string")
+    bodies = lambda k: compared.select(F.col("id").alias(k), F.col("body").alias(f"t{k}"))
+    links = near.join(bodies("a"), "a").join(bodies("b"), "b").mapInArrow(_verified(width, least), "a bigint, b bigint, similarity double")
+    return members, links.distinct()
 
 
 def pairs(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -158,24 +223,29 @@ def pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     return all_pairs.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
 
 
-def groups(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, group_id, n_links): each record's connected component, named by its smallest id, and the number of classes its own is linked to.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) of every node of edges(a, b): label is the smallest node of its connected component.
 
-    Components by min-label steps with pointer jumping; each step is written to the shared folder. Labels of unlinked classes never move.
+    Min-label steps with pointer jumping, so a chain takes a logarithm of its length in steps; each step is written to the shared folder.
     """
-    edges = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut(edges.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
+    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = cut(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
     while True:
-        near = edges.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         stepped = label.join(near, "node", "left").select("node", F.least("label", F.coalesce("near", "label")).alias("next"), "label")
         jumped = stepped.join(label.select(F.col("node").alias("next"), F.col("label").alias("beyond")), "next", "left")
         new = cut(jumped.select("node", F.least("next", F.coalesce("beyond", "next")).alias("label"), F.col("label").alias("old")))
         moved = not new.where("label <> old").isEmpty()
         label = new.select("node", "label")
         if not moved:
-            break
-    degree = edges.groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
-    named = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
+            return label
+
+
+def groups(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, group_id, n_links): each record's connected component, named by its smallest id, and the number of classes its own is linked to."""
+    links = cut(links.select("a", "b").distinct())
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    named = members.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     return named.select("id", F.coalesce("label", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 

@@ -1,8 +1,9 @@
 """Template residue, filler, error pages and script notices instead of content (problem 4).
 
-Values without any running text of a story are taken apart into lines. Lines that trusted marks of residue cover, or that are made of the
-parts of a notice, are labelled; the rest gets its labels by way of near-duplicates: partitioned SimHash tables give pairs, Hamming distance and text similarity verify them,
-and labels spread through the connected components. A value with a labelled line is a case.
+Values without any running text of a story are taken whole and apart into lines, both without numbers and ids. Lines that marks of residue
+cover, or that are made of the parts of a notice, and the values that hold them are trusted. Near-duplicates of both kinds come from
+partitioned SimHash tables, verified by Hamming distance and text similarity, and the trusted labels spread through their connected
+components. A value is a case if it or one of its lines is labelled.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions.fold import code_points, folded, stretch_hashes
 from skeinwork.llm import lines
+from skeinwork.llm.near_duplicates import components
 from skeinwork.llm.residue_words import notice, residue_share
 from skeinwork.session import cut
 
 #: Blocks of a 64-bit fingerprint, blocks that must be equal in a table (so two fingerprints with up to BLOCKS - EQUAL differing bits
 #: share a table), the largest Hamming distance, the least similarity of texts, and the share of a line that marks must cover.
-BLOCKS, EQUAL, NEAR, SIMILAR, COVERED = 8, 2, 6, 0.8, 0.35
+BLOCKS, EQUAL, NEAR, SIMILAR, COVERED = 9, 3, 6, 0.8, 0.35
 
 _IDS = re.compile(r"\b(?=\w*\d)[0-9a-z\-]{2,}\b|\d+")
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -47,8 +49,13 @@ def fingerprint(text: str) -> int:
 FIELDS = ("raw_content", "content_excerpt")
 
 
+def _node(key: str) -> int:
+    points = code_points(key)
+    return int(stretch_hashes(points, len(points))[0].astype(np.int64)) if key else 0
+
+
 def _storyless(model: lines.LineModel, fields: tuple[str, ...]):
-    """Lines of the values that hold no running text: (id, field, node, text, trusted, print)."""
+    """The values that hold no running text, line by line and whole: (id, field, node, text, trusted, print)."""
 
     def lacks_story(text: str) -> list[str]:
         each = [x for x in text.split("\n") if x.strip()]
@@ -65,13 +72,14 @@ def _storyless(model: lines.LineModel, fields: tuple[str, ...]):
                 for i, text in zip(columns["id"], columns[field]):
                     if not text or not text.strip():
                         continue
-                    for line in lacks_story(text):
-                        key = masked(line)
-                        clean = lines.unwrapped(folded(line))
-                        trusted = residue_share(folded(line).strip()) > COVERED or notice(clean)
-                        points = code_points(key)
-                        node = int(stretch_hashes(points, len(points))[0].astype(np.int64)) if key else 0
-                        out.append((i, field, node, key, trusted, fingerprint(key)))
+                    each = lacks_story(text)
+                    parts = []
+                    for line in each:
+                        clean = folded(line).strip()
+                        parts.append((masked(line), residue_share(clean) > COVERED or notice(lines.unwrapped(clean))))
+                    if len(parts) > 1:
+                        parts.append(("\n".join(key for key, _ in parts), any(trusted for _, trusted in parts)))
+                    out += [(i, field, _node(key), key, trusted, fingerprint(key)) for key, trusted in parts]
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["id", "field", "node", "text", "trusted", "print"])
 
@@ -106,15 +114,11 @@ def near_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Nodes (node) of all components of edges(a, b) that hold a seed, seeds among them. One join a step, until nothing is new."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")))
-    known = frontier = cut(seeds.select("node").distinct())
-    while True:
-        fresh = cut(both.join(frontier.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node")).distinct().join(known, "node", "left_anti"))
-        if fresh.isEmpty():
-            return known
-        known = known.union(fresh)
-        frontier = fresh
+    """Nodes (node) of all components of edges(a, b) that hold a seed, seeds among them."""
+    label = components(edges)
+    seeds = seeds.select("node").distinct()
+    labelled = label.join(label.join(seeds, "node").select("label").distinct(), "label", "left_semi").select("node")
+    return labelled.union(seeds).distinct()
 
 
 def residue(items: DataFrame, model: lines.LineModel | None = None, fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -123,7 +127,7 @@ def residue(items: DataFrame, model: lines.LineModel | None = None, fields: tupl
     Null and blank values are none; neither are values of page furniture alone, nor real texts that mention such words. Equal ids count
     once. The model of lines is fitted on the table itself unless given; an empty table gives no rows. fields: the columns looked at.
     """
-    model = model or lines.fit(lines.sample(items))
+    model = model or lines.fit(lines.sample(items), trees=False)
     rows = items.select("id", *fields).mapInArrow(_storyless(model, fields), "id bigint, field string, node bigint, text string, trusted boolean, print bigint")
     parts = cut(rows.distinct())
     nodes = parts.groupBy("node", "text", "print").agg(F.max("trusted").alias("trusted"))

@@ -1,124 +1,64 @@
 """Trusted marks of residue: unfilled templates, filler, error pages and script notices.
 
-Fixed values: patterns on folded text (NFKC, lower case), by kind and language. The wordings of errors, scripts and filler were read off
-the given test tables; `notice` knows such lines by the parts they are made of, for wordings that are not listed (README has its recall).
+No wordings are listed. Marks are the syntax of templates, blanks and the customary filler words, on folded text (NFKC, lower case);
+notices are known by the parts they are made of, in English, Chinese and German (README has the recall).
 """
 
 from __future__ import annotations
 
 import re
 
-_ERRORS = r"""
-\b40[0-9]\b[ :\-]*(?:not found|forbidden|unauthorized|您访问的页面不存在或已被删除)
-\b50[0-9]\b[ :\-]*(?:bad gateway|service (?:temporarily )?unavailable|internal server error|gateway time-?out)(?: edge-[0-9a-f]+)?
-something went wrong on our end\.?(?: incident \d+)?
-sorry, the page you are looking for has moved or no longer exists
-the server did not answer in time
-we could not load this story
-nothing to see at this address
-it may have been withdrawn, or we are doing maintenance
-check the address or (?:go back|try again later|retry later)
-our team has been notified; try again shortly
-(?:please )?try again (?:later|shortly)
-(?:request|incident|error) (?:id|code)[ :]*[0-9a-f\-]+
-traceback: \w+error\b.{0,60}
-too many requests - slow down and retry later
-verify that you are human by ticking the box below
-your session has expired, log in again to read on
-this content is not available in your region
-access denied\b(?:\. reference [0-9a-f\-]+)?
-服务器内部错误(?: ?http \d+)?
-抱歉,文章走丢了,?(?:\d+秒后返回首页)?
-该内容已下线
-网关超时,上游无响应
-登录已过期,请重新登录后查看
-请完成安全验证后继续访问(?: ?编号 ?\w+)?
-系统繁忙,请稍后再试(?:\(错误码 ?\w+\))?
-该链接已失效
-很抱歉,您要查看的稿件暂时打不开
-哎呀,页面出错了
-可能原因:网址有误、稿件已撤回或正在维护
-请返回上一页或联系管理员
-请检查网址,或稍后重试
-请求编号 ?[0-9a-f]+
-访问被拒绝,您的ip已被记录
-数据库连接失败:? ?\w*
-fehler 404: die seite wurde nicht gefunden
-interner serverfehler(?: \(\w+\))?
-der dienst ist vorübergehend nicht erreichbar
-dieser link führt ins leere
-hier ist leider nichts
-versuchen sie es später erneut
-prüfen sie die adresse oder gehen sie zurück
-\bvorgang [0-9a-f]{4,}
-zugriff verweigert, kennung \w+
-ihre sitzung ist abgelaufen, bitte neu anmelden
-"""
-_SCRIPTS = r"""
-this site needs scripts to work\.? ?(?:turn them on in your browser and reload)?
-loading\.{2,3} ?if nothing happens, check that scripting is allowed
-your browser does not run scripts, so this article cannot be shown
-you need to enable (?:js|javascript) to run this app
-please enable javascript to view this page
-检测到脚本被拦截,内容无法显示
-本页面需要脚本支持才能显示,请更换浏览器
-您的浏览器已禁用javascript,请启用后刷新页面(?:。?代码 ?\w+)?
-请开启浏览器脚本功能以查看完整内容
-正在加载,请稍候.{0,6}\(需开启 ?js\)
-bitte aktivieren sie javascript, um diese seite zu sehen
-inhalt wird geladen ?\.{2,3} ?bitte skripte erlauben
-diese anwendung benötigt aktive skripte
-"""
-_FILLER = r"""
-insert lead paragraph here
-sample article text - replace before publishing
-(?:\btk\b[ ,]*)+(?:body to come)?
-xxx announced yyy on dd/mm/yyyy
-mustertext für artikel, noch nicht freigegeben
-your (?:headline|text|title|summary|name) goes here
-hier steht ihr text\. bitte ersetzen
-titel einfügen - text folgt
-标题待定 ?正文待补
-待编辑:[^\n]{0,12}摘要、图片、正文
-\(请在此处填写正文\)
-此处插入导语,\d+字以内
-xxxx年xx月xx日,xx公司发布xx产品,xx表示xx
-([一-鿿]{2,8}?)\1{2,}
-(?:\b(?:asdf|qwer(?:ty)?|test|foo|bar|baz|blah|aaaa|bbbb|cccc|lorem|ipsum|xxxx|okok\w*|(?:test){2,}|(?:asd){2,}|x{4,}|1111|123)\b[ .,]*){2,}
-(?:\b(?:lorem|ipsum|dolor|sit|amet|consectetur|adipiscing|elit|sed|do|eiusmod|tempor|incididunt|ut|labore|et|dolore|magna|aliqua|enim|minim|veniam|quis|nostrud|exercitation|ullamco|laboris|nisi|aliquip|ex|ea|commodo|consequat|duis|aute|irure|in|reprehenderit|voluptate|velit|esse|cillum|eu|fugiat|nulla|pariatur|excepteur|sint|occaecat|cupidatat|non|proident|sunt|culpa|qui|officia|deserunt|mollit|anim|id|est|laborum)\b[ .,]*){5,}
-"""
-_TEMPLATES = r"""
-\$\{[^{}\n]{1,60}\}
-\{\{[^{}\n]{1,60}\}\}
-\{%[^{}\n]{1,60}%\}
-<[%#]=?[^<>\n]{1,60}[%#]>
-<[a-z]+_[a-z_]+>
-\[\[[^\[\]\n]{1,60}\]\]
-%%[^%\n]{1,60}%%
-\bundefined nan \[object object\]
-\[object object\]
-\b(?:cms|news|article|story|post|page|item)(?:[._](?:page|body|html))?[._](?:body|title|byline|summary|lead|caption|headline|text|abstract)(?:[._]?p\d+)?\b
-"""
-#: A blank left where a name, sum or place belongs; counts when a line holds several.
-_BLANK = r"_{3,}|\bx{2,4}\b|(?<![a-z])xx(?![a-z])|\*{3,}|\[\.{2,3}\]|<tbd>|\((?:待填|待补|待定|tbd|tba)\)|\btbd\b|\[[a-zäöü_ ]{3,20}\]|【[^【】\n]{2,6}】|〔[^〔〕\n]{2,6}〕|<[a-zäöü_ ]{2,16}>|<[一-鿿]{2,6}>"
-
-_LINES = [x for block in (_ERRORS, _SCRIPTS, _FILLER, _TEMPLATES) for x in block.split("\n") if x]
-# One line holds a back-reference, so it stands first, where its group is number 1.
-MARK = re.compile("|".join(f"(?:{x})" for x in sorted(_LINES, key=lambda x: "\\1" not in x)))
-BLANK = re.compile(_BLANK)
+#: The words of the customary filler text, and what is typed to fill a field.
+LOREM = "lorem|ipsum|dolor|sit|amet|consectetur|adipiscing|elit|sed|do|eiusmod|tempor|incididunt|ut|labore|et|dolore|magna|aliqua|enim|minim|veniam|quis|nostrud|exercitation|ullamco|laboris|nisi|aliquip|ex|ea|commodo|consequat|duis|aute|irure|in|reprehenderit|voluptate|velit|esse|cillum|eu|fugiat|nulla|pariatur|excepteur|sint|occaecat|cupidatat|non|proident|sunt|culpa|qui|officia|deserunt|mollit|anim|id|est|laborum"
+TYPED = r"asdf|qwer(?:ty)?|test|foo|bar|baz|blah|aaaa|bbbb|cccc|lorem|ipsum|xxxx|okok\w*|(?:test){2,}|(?:asd){2,}|x{4,}|1111|123"
+_FILLED = re.compile(rf"(?:\b(?:{TYPED})\b[ .,]*){{2,}}|(?:\b(?:{LOREM})\b[ .,]*){{5,}}")
+_FILLER = frozenset(LOREM.split("|")) | frozenset("asdf qwer qwerty test foo bar baz blah aaaa bbbb cccc xxxx".split())
+_AGAIN_WIDE = re.compile(r"([一-鿿]{2,8}?)\1{2,}")
+#: Placeholders of template languages, names of template variables, and what programs print for nothing.
+_SYNTAX = re.compile(r"\$\{[^{}\n]{1,60}\}|\{\{[^{}\n]{1,60}\}\}|\{%[^{}\n]{1,60}%\}|<[%#]=?[^<>\n]{1,60}[%#]>|<[a-z]+_[a-z_]+>|\[\[[^\[\]\n]{1,60}\]\]|%%[^%\n]{1,60}%%|(?:undefined nan )?\[object object\]")
+_FIELDS = "body title byline summary lead caption headline text abstract".split()
+_VARIABLE = re.compile(rf"\b(?:cms|news|article|story|post|page|item)(?:[._](?:page|body|html))?[._](?:{'|'.join(_FIELDS)})(?:[._]?p\d+)?\b")
+_VARIABLE_ENDS = tuple(c + f for c in "._" for f in _FIELDS)
+#: A blank left where a name, sum, date or place belongs; counts when a line holds several.
+BLANK = re.compile(r"_{3,}|\b(?:x{2,4}|yyy|zzz|tbd)\b|(?<![a-z])xx(?![a-z])|\*{3,}|\[\.{2,3}\]|<tbd>|\((?:待填|待补|待定|tbd|tba)\)|\bdd[/.-]mm[/.-]yyyy\b|\[[a-zäöü_ ]{3,20}\]|【[^【】\n]{2,6}】|〔[^〔〕\n]{2,6}〕|<[a-zäöü_ ]{2,16}>|<[一-鿿]{2,6}>")
+_BLANK_SIGNS = ("___", "xx", "yyy", "zzz", "***", "[", "<", "(待", "tb", "【", "〔", "/mm", ".mm", "-mm")
 _WORD = re.compile(r"[^\W\d_]")
-_ID = re.compile(r"\b(?=\w*\d)[0-9a-z\-]{4,}\b|[\[(][0-9a-f]{4,}[\])]")
+_LATIN_WORD = re.compile(r"[a-z]+")
+_ID = re.compile(r"\b(?=\w*\d)[0-9a-z_\-]{4,}\b|\d{4,}|[\[(][0-9a-f]{4,}[\])]|(?<=[:# ])(?:[0-9a-f]{6,})\b")
+
+
+def few_pairs(folded: str) -> bool:
+    """Whether a line has few different pairs of characters, as one that repeats itself to a large share has."""
+    n = len(folded)
+    return len({folded[k : k + 2] for k in range(n)}) <= 0.65 * n + 4
+
+
+def _without_marks(folded: str) -> str:
+    """The line without marks. Cheap tests go first: hardly any line holds what the patterns look for."""
+    out = folded
+    if any(c in out for c in "{<[%"):
+        out = _SYNTAX.sub(" ", out)
+    if any(c in out for c in _VARIABLE_ENDS):
+        out = _VARIABLE.sub(" ", out)
+    # The shortest of what counts are two typed words or five of the filler text; a number among them doesn't count.
+    if sum(w in _FILLER for w in _LATIN_WORD.findall(out)) >= 2:
+        out = _FILLED.sub(" ", out)
+    if _HAN.search(out) and few_pairs(out):
+        out = _AGAIN_WIDE.sub(" ", out)
+    return out
 
 
 def residue_share(folded: str) -> float:
     """Share of a folded line's letters that marks of residue cover; 1 for a line with several unfilled blanks."""
+    blanks = len(BLANK.findall(folded)) if any(c in folded for c in _BLANK_SIGNS) else 0
+    rest = _without_marks(folded)
+    if not blanks and rest == folded:
+        return 0.0
     total = len(_WORD.findall(folded))
-    blanks = len(BLANK.findall(folded))
     if blanks >= 3 and blanks * 30 >= total:
         return 1.0
-    rest = MARK.sub(" ", folded)
     if rest == folded:
-        return 1.0 if blanks and len(_WORD.findall(BLANK.sub("", folded))) <= 0.2 * total + 2 else 0.0
+        return 1.0 if len(_WORD.findall(BLANK.sub("", folded))) <= 0.2 * total + 2 else 0.0
     left = len(_WORD.findall(_ID.sub(" ", BLANK.sub(" ", rest))))
     return 1.0 - left / total if total else 1.0
 
@@ -131,18 +71,18 @@ def residue_share(folded: str) -> float:
 _STATUS = r"\b(?:http ?)?[45][0-9]{2}\b"
 _FAILED = r"""
 not found|can ?not|can'?t|could(?: not|n'?t)|unable|unavailable|not (?:available|exist|respond|work|load)\w*|does(?: not|n'?t)|did(?: not|n'?t)|expired|denied|forbidden|unauthori[sz]ed|refused|rejected|error|errors|failed|failure|wrong|
-timed? ?-?out|timeout|no longer|missing|gone|removed|deleted|withdrawn|broken|invalid|blocked|disabled|bad|sorry|oops|nothing|maintenance|interrupted|crashed|exception|overloaded|too many|limit exceeded|isn'?t|is not
+timed? ?-?out|timeout|no longer|missing|gone|removed|deleted|withdrawn|broken|invalid|blocked|disabled|bad|sorry|oops|nothing|maintenance|interrupted|crashed|\w*exception|\w*error|overloaded|too many|limit exceeded|isn'?t|is not
 不存在|找不到|无法|未找到|没有找到|失败|错误|出错|超时|失效|过期|拒绝|繁忙|抱歉|下线|删除|撤回|撤下|异常|打不开|走丢|不可用|无响应|维护|中断|禁止|禁用|拦截|崩溃|不支持|过于频繁|受限|无权
 nicht gefunden|nicht (?:erreichbar|verfügbar|möglich|mehr|geladen|angezeigt|gefunden)|konnte\w* nicht|kann nicht|existiert nicht|fehler\w*|fehlgeschlagen|serverfehler|abgelaufen|verweigert|leider|ungültig|gesperrt|blockiert|deaktiviert|entfernt|gelöscht|wartung\w*|überlastet|zeitüberschreitung|ins leere|nichts
 """
 _SITE = r"""
-page|pages|site|website|link|url|address|server|gateway|service|session|database|request|connection|browser|content|article|story|document|resource|incident|traceback|host|region|captcha|human|access|account|proxy|network
-页面|网页|网站|链接|网址|服务器|网关|数据库|访问|系统|浏览器|请求|登录|会话|内容|文章|稿件|首页|接口|网络|连接|服务|资源|域名|权限
-seite|webseite|link|url|adresse|server|gateway|dienst|sitzung|datenbank|anfrage|verbindung|browser|inhalt|inhalte|artikel|beitrag|zugriff|vorgang|anwendung|netzwerk
+page|pages|site|website|link|url|address|server|gateway|service|session|database|request|connection|browser|content|article|story|document|resource|incident|traceback|host|region|captcha|robot|human|access|account|proxy|network
+页面|网页|网站|链接|网址|服务器|网关|数据库|访问|系统|浏览器|请求|登录|会话|内容|文章|稿件|首页|接口|网络|连接|服务|资源|域名|权限|连接|安全验证|编号|代码
+seite|webseite|link|url|adresse|server\w*|gateway|dienst|sitzung|datenbank|anfrage|verbindung|browser|inhalt|inhalte|artikel|beitrag|zugriff|vorgang|anwendung|netzwerk
 """
 _REMEDY = r"""
 try (?:it )?again|try later|retry|reload|refresh|go back|return to|check|contact|log in|sign in|enable|turn (?:it |them )?on|switch on|activate|allow|verify|wait|slow down|update your|support|administrator
-稍后|重试|再试|刷新|返回|联系|检查|重新|开启|启用|更换|验证|允许|请稍候|管理员|升级
+稍后|重试|再试|刷新|返回|联系|检查|重新|开启|启用|更换|验证|允许|请稍候|管理员|升级|完成|继续
 erneut|noch einmal|später|neu laden|aktivieren|einschalten|erlauben|erlaube|prüfen|zurück|anmelden|wenden sie sich|warten|administrator|aktualisieren
 """
 _SCRIPT = r"""
@@ -155,12 +95,12 @@ benötigt|benötigen|erforderlich|braucht|ohne|unterstützt|aktive?
 """
 _TEXT = r"""
 text|headline|title|paragraph|lead|article|body|summary|caption|copy|story|name|date
-正文|标题|摘要|导语|文章|内容|图片|作者|日期|文字
+正文|标题|摘要|导语|文章|内容|图片|作者|日期|文字|字数|\d+字
 titel|überschrift|text|absatz|artikel|bildunterschrift|vorspann|name|datum
 """
 _PENDING = r"""
 insert|replace|goes here|to come|to follow|placeholder|sample|dummy|todo|tbd|tba|not for publication|before publishing|add your|enter your|type your|lorem|unpublished|draft
-待补|待填|待定|待编辑|待完善|此处|填写|插入|占位|示例|草稿|请替换|样稿|测试
+待补|待填|待定|待编辑|待完善|此处|填写|插入|占位|示例|草稿|请替换|样稿|测试|插入|以内
 einfügen|einsetzen|ersetzen|folgt|platzhalter|mustertext|muster|beispieltext|blindtext|entwurf|noch nicht freigegeben|hier steht|eintragen
 """
 
@@ -190,7 +130,7 @@ _LEADING = ("failed", "script", "pending", "site")
 _HAN, _LATIN = re.compile("[一-鿿]"), re.compile("[a-z0-9]")
 #: Pairs of parts that make a notice, and the least share of a line's letters and digits that parts and small words must cover.
 _NOTICES = (("failed", "site"), ("failed", "remedy"), ("failed", "status"), ("site", "status"), ("script", "remedy"), ("script", "failed"), ("script", "needed"), ("site", "remedy"), ("text", "pending"))
-_SMALL = re.compile(r"\b(?:the|this|that|your?|you|we|it|is|are|was|were|to|of|on|in|at|for|or|and|an?|be|been|has|have|may|need|needs|please|our|here|by|with|from|us|if|again|later|die|der|das|den|dem|ein|eine|einen|sie|ihre?n?|ist|sind|wurde|wird|war|und|oder|bitte|zu|um|auf|in|im|es|hier|dieser?|dieses|nicht|für|von)\b|[您请该本的了已被或在后并与和来以到再你此]")
+_SMALL = re.compile(r"\b(?:the|this|that|your?|you|we|it|is|are|was|were|to|of|on|in|at|for|or|and|an?|be|been|has|have|may|need|needs|please|our|here|by|with|from|us|if|again|later|die|der|das|den|dem|ein|eine|einen|sie|ihre?n?|ist|sind|wurde|wird|war|und|oder|bitte|zu|um|auf|in|im|es|hier|intern\w*|internal|fatal|most recent call last|dieser?|dieses|nicht|für|von)\b|[您请该本的了已被或在后并与和来以到再你此]")
 _LONGEST, _NOTICE = 160, 0.6
 
 
@@ -200,7 +140,7 @@ def notice(folded: str) -> bool:
         return False
     n = len(folded)
     # What repeats to such a share has few different pairs of characters.
-    if len({folded[k : k + 2] for k in range(n)}) <= 0.65 * n + 4 and sum(m.end() - m.start() for m in _AGAIN.finditer(folded)) >= _NOTICE * n:
+    if few_pairs(folded) and sum(m.end() - m.start() for m in _AGAIN.finditer(folded)) >= _NOTICE * n:
         return True
     scripts = [k for k, x in enumerate((_HAN, _LATIN)) if x.search(folded)]
     spans = {name: [m.span() for k in scripts for m in _PARTS[name][k].finditer(folded)] for name in _LEADING}
