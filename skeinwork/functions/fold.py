@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -103,3 +104,32 @@ def stretch_hashes(points: np.ndarray, width: int) -> np.ndarray:
                 block = block[: len(block) - size] * np.uint64(pow(_BASE, size, 1 << 64)) + block[size:]
                 size *= 2
     return mix64(out)
+
+
+#: Letters and digits hashed at a time, so that arrays stay in the processor's cache.
+CHUNK = 12_000
+
+
+def stretches_of(texts: Iterable[str | None], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(points, hashes) of each text in turn: its folded letters and digits and stretch_hashes() of them. Null is an empty text.
+
+    Short texts are hashed together, which spares most of the cost of small arrays.
+    """
+    waiting: list[np.ndarray] = []
+
+    def hashed() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        whole = stretch_hashes(np.concatenate(waiting), width) if waiting else ()
+        at = 0
+        for points in waiting:
+            yield points, whole[at : at + max(0, len(points) - width + 1)]
+            at += len(points)
+        waiting.clear()
+
+    load = 0
+    for text in texts:
+        waiting.append(alnum_points(text or ""))
+        load += len(waiting[-1])
+        if load >= CHUNK:
+            yield from hashed()
+            load = 0
+    yield from hashed()

@@ -10,15 +10,30 @@ from skeinwork.session import cut
 from skeinwork.vocab import AI, NEV, REFERENCE, Vocabulary
 
 
+#: Titles of page turners.
+TURNERS = ("最后一页", "上一页", "下一页", "尾页")
+
+
 def items_with_sources(raw: DataFrame, sources: DataFrame) -> DataFrame:
-    """Distinct deliveries joined to their source; sources are a dimension that Spark broadcasts while it is small.
+    """Deliveries joined to their source; sources are a dimension that Spark broadcasts while it is small.
 
     Adds source_name, source_type, industry_hint, reliability (null if missing or no number), enabled. Items without a source are kept
-    out, as in every query over items; repeated rows count once.
+    out, as in every query over items. Repeated deliveries stay: narrow columns come first, in the scan, then once() collapses them, so
+    that no text is shuffled to find them.
     """
     score = F.col("reliability_score")
     dim = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"), F.col("type").alias("source_type"), "industry_hint", F.when(~F.isnan(score), score).alias("reliability"), "enabled", "site_tz", "site_locale")
-    return raw.dropDuplicates(["id"]).join(dim, "source_id")
+    return raw.join(dim, "source_id")
+
+
+def once(rows: DataFrame, key: str = "id") -> DataFrame:
+    """One row a key, of rows that are equal where the key is; texts among the columns would be shuffled, so drop them before."""
+    return rows.dropDuplicates([key])
+
+
+def narrow(items: DataFrame) -> DataFrame:
+    """items once each, with the length of the text as `richness` in place of the texts."""
+    return once(items.withColumn("richness", richness()).drop("raw_content", "content_excerpt"))
 
 
 def full_text(summary: Column | None = None) -> Column:
@@ -41,7 +56,7 @@ def with_relevance(items: DataFrame, vocab: Vocabulary = REFERENCE) -> DataFrame
     body = F.trim(T.or_empty(F.col("raw_content"), F.col("content_excerpt")))
     rest = F.btrim(F.replace(body, F.when(title != "", title).otherwise("\x00")), F.lit(" -_｜|：:"))
     mostly = (rest != "") & (sum((rest.contains(w).cast("int") for w in furniture), F.lit(0)) >= 2)
-    low_information = title.isin("最后一页", "上一页", "下一页", "尾页") | (T.any_of(text, shells) & ((F.length(body) < 140) | mostly))
+    low_information = title.isin(*TURNERS) | (T.any_of(text, shells) & ((F.length(body) < 140) | mostly))
     nev, ai, negative = F.size("nev_terms"), F.size("ai_terms"), F.size("negative_terms")
     out = out.withColumn("low_information", low_information)
     relevant = ~F.col("low_information") & ((nev > 0) | (ai > 0))
@@ -50,6 +65,26 @@ def with_relevance(items: DataFrame, vocab: Vocabulary = REFERENCE) -> DataFrame
     return out.withColumns({"is_relevant": relevant, "industry": industry, "screen_confidence": confidence}).drop("__text", "__low")
 
 
+def relevance_reason(vocab: Vocabulary = REFERENCE) -> Column:
+    """The verdict of a screened row in words. Fixed values, in the order of the rules."""
+    negative = F.size("negative_terms") > 0
+    meeting = F.arrays_overlap("negative_terms", F.array(*[F.lit(x) for x in vocab.meeting]))
+    return (
+        F.when(F.col("low_information"), F.when(F.trim(F.coalesce("title", F.lit(""))).isin(*TURNERS), "正文信息不足：疑似列表页或分页导航，不应进入产业情报库").otherwise("正文信息不足：疑似来源栏目模板或站点宣传语，不应进入产业情报库"))
+        .when(F.col("is_relevant"), F.when(F.col("industry") == AI, "命中人工智能产业关键词").otherwise("命中新能源汽车产业关键词"))
+        .when(negative & meeting, "内部会议，未命中产业关键词").when(negative, "内部会议或泛社会新闻，未命中产业关键词")
+        .otherwise("未命中产业关键词，来源行业提示不足以入库")
+    )
+
+
+def evidence() -> Column:
+    """What speaks for a classified row: its event types, the source's kind if known, and the level of the names in it if there are any."""
+    events = F.concat(F.lit("事件类型命中："), F.array_join("event_types", ", "))
+    kind = F.when(F.coalesce("source_type", F.lit("")) != "", F.concat(F.lit("来源类型："), "source_type"))
+    level = F.when(F.col("actor_level") != "none", F.concat(F.lit("关键主体等级："), "actor_level"))
+    return F.array_compact(F.array(events, kind, level))
+
+
 def normal_title(title: Column) -> Column:
     """Lower case, letters, marks, digits and underscores only."""
     return F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"[^\p{L}\p{M}\p{N}_]+", "")
@@ -94,7 +129,7 @@ def with_classes(items: DataFrame, vocab: Vocabulary = REFERENCE) -> DataFrame:
     """Adds class_industry, subtags, event_types, subject_roles, signals, importance, importance_reason, class_confidence, entities, actor_level.
 
     Words count as written, anywhere in title, content and excerpt. A known relevance_industry wins over the source's first hint, that
-    over the words. Lists are in the taxonomy's order and never empty.
+    over the words. Lists are in the order of the rules and never empty.
     """
     out = items.withColumn("__text", full_text())
     text = F.col("__text")
@@ -190,9 +225,9 @@ def analysed(raw: DataFrame, sources: DataFrame, now: int) -> DataFrame:
     """
     accepted = with_relevance(items_with_sources(raw, sources).where("enabled")).where("is_relevant")
     dated = with_classes(accepted).withColumns({"cluster_key": cluster_key(F.col("title")), "richness": richness(), "published_s": T.iso_seconds(F.col("published_at")), "fetched_s": T.iso_seconds(F.col("fetched_at"))})
-    narrow = cut(dated.drop("raw_content", "content_excerpt"))
-    stats = clusters(narrow)
-    return with_rank(narrow.join(stats.select("cluster_key", "members", "reliable_sources", "representative_id"), "cluster_key"), now)
+    rows = cut(once(dated.drop("raw_content", "content_excerpt")))
+    stats = clusters(rows)
+    return with_rank(rows.join(stats.select("cluster_key", "members", "reliable_sources", "representative_id"), "cluster_key"), now)
 
 
 def newest_first(group: str, *order: Column) -> Window:

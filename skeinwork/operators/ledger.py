@@ -17,7 +17,7 @@ def normalised(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def new_rows(batch: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
-    """Rows of the batch whose key isn't in the ledger, one a key (the first by all columns); null keys are never new."""
+    """Rows of the batch whose key isn't in the ledger, one a key, of rows that are equal but for what is passed over here; null keys are never new."""
     one = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
     return one.join(ledger.select(key), key, "left_anti")
 
@@ -67,6 +67,7 @@ def first_by(rows: DataFrame, key: str, *order: Column) -> DataFrame:
 
 def backfilled_dates(raw: DataFrame) -> DataFrame:
     """(id, day, origin) of rows without published_at: the labelled date of the text, else the date of the URL; rows with neither are left out."""
-    missing = raw.dropDuplicates(["id"]).where(F.col("published_at").isNull())
+    missing = raw.where(F.col("published_at").isNull())
     by_text, by_url = T.text_date(F.col("raw_content")), T.url_date(F.col("url"))
-    return missing.select("id", F.coalesce(by_text, by_url).cast("string").alias("day"), F.when(by_text.isNotNull(), "text").otherwise("url").alias("origin")).where("day is not null")
+    dated = missing.select("id", F.coalesce(by_text, by_url).cast("string").alias("day"), F.when(by_text.isNotNull(), "text").otherwise("url").alias("origin")).where("day is not null")
+    return dated.dropDuplicates(["id"])

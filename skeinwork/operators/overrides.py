@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.functions import text as T
+from skeinwork.sources.cleaning import HIDDEN
 from skeinwork.vocab import REFERENCE, Vocabulary
 
 _CLASSES = "industry_subtags array<string>, event_types array<string>, importance_level string, importance_reason string, subject_roles array<string>, signal_attributes array<string>, confidence double"
@@ -81,6 +82,6 @@ def with_fact_overrides(rows: DataFrame, payloads: DataFrame) -> DataFrame:
 
 def bounded_text(most: int = 3500) -> Column:
     """The first of content, excerpt and title with at least 12 letters or digits, tags and scripts removed, cut to `most`: what a scorer gets to see."""
-    tags = r"(?is)<(script|style|noscript|template|svg|canvas|iframe|object|embed)\b[^>]*>.*?</\1>|<!--.*?-->|<[^>]+>"
+    tags = rf"(?is)<({'|'.join(HIDDEN)})\b[^>]*>.*?</\1>|<!--.*?-->|<[^>]+>"
     each = [F.substring(T.compact(F.regexp_replace(F.substring(F.coalesce(F.col(c), F.lit("")), 1, most), tags, " ")), 1, most) for c in ("raw_content", "content_excerpt", "title")]
     return F.coalesce(*[F.when(F.regexp_count(x, F.lit(r"[\p{L}\p{N}]")) >= 12, x) for x in each], F.lit(""))

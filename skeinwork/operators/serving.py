@@ -6,17 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.functions import text as T
-from skeinwork.operators.analysis import items_with_sources
+from skeinwork.operators.analysis import items_with_sources, once, richness
 
 RANGES = {"24h": 86_400, "72h": 259_200, "7d": 604_800, "30d": 2_592_000}  # fixed values; "all" has no bound
 
 
-def joined(processed: DataFrame, raw: DataFrame, sources: DataFrame, events: DataFrame | None = None) -> DataFrame:
+def joined(processed: DataFrame, raw: DataFrame, sources: DataFrame, events: DataFrame | None = None, term: str | None = None) -> DataFrame:
     """Processed items with their raw item and source (inner) and event (left); repeated deliveries count once.
 
-    Columns of equal names are told apart by prefixes: item_id, raw_id, event_id.
+    Columns of equal names are told apart by prefixes: item_id, raw_id, event_id. Texts stay behind: content_length is their length, and
+    for keyword(term) excerpt_hit says whether the excerpt holds the term and excerpt_head is as much of it as can finish one.
     """
-    r = items_with_sources(raw, sources).select(F.col("id").alias("raw_id"), "source_id", "source_name", "source_type", "reliability", "title", "url", "published_at", "fetched_at", "content_excerpt", "raw_content")
+    narrow = ["source_id", "source_name", "source_type", "industry_hint", "reliability", "title", "url", "author", "published_at", "fetched_at", "relevance_industry", "relevance_confidence"]
+    marks = [] if term is None else [F.lower(F.coalesce("content_excerpt", F.lit(""))).contains(term.lower()).alias("excerpt_hit"), F.substring(F.lower(F.coalesce("content_excerpt", F.lit(""))), 1, len(term)).alias("excerpt_head")]
+    r = once(items_with_sources(raw, sources).select(F.col("id").alias("raw_id"), *narrow, richness().alias("content_length"), *marks), "raw_id")
     p = processed.dropDuplicates(["id"]).select(F.col("id").alias("item_id"), "raw_item_id", F.col("canonical_event_id").alias("event_id"), "normalized_title", "summary", "importance_level", "rank_score", "confidence", "created_at", "workflow_run_id")
     out = p.join(r, F.col("raw_item_id") == F.col("raw_id")).drop("raw_item_id")
     if events is not None:
@@ -26,8 +29,8 @@ def joined(processed: DataFrame, raw: DataFrame, sources: DataFrame, events: Dat
 
 
 def keyword(term: str) -> Column:
-    """Case-insensitive containment over title, summary and excerpt, also across their joins."""
-    return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("title", "summary", "content_excerpt")])).contains(term.lower())
+    """Case-insensitive containment over title, summary and excerpt, also across their joins, of joined(term=term)."""
+    return F.col("excerpt_hit") | F.concat_ws(" ", *[F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "summary", "excerpt_head")]).contains(term.lower())
 
 
 def display_time() -> Column:
@@ -132,7 +135,49 @@ def trace(rows: DataFrame) -> DataFrame:
     node = lambda name, **out: F.struct(F.lit(name).alias("node"), F.to_json(F.struct(*[v.alias(k) for k, v in out.items()])).alias("output"))
     c = F.col
     steps = [
-        node("collect", source=c("source_name"), url=c("url")), node("normalize", title=c("normalized_title"), length=F.length(T.or_empty(c("raw_content"), c("content_excerpt")))),
+        node("collect", source=c("source_name"), url=c("url")), node("normalize", title=c("normalized_title"), length=c("content_length")),
         node("deduplicate", event=c("event_id")), node("classify_tag", importance=c("importance_level"), confidence=c("confidence")), node("rank", score=c("rank_score")), node("extract", summary=c("summary")),
     ]
     return rows.select("item_id", F.to_json(F.array(*steps)).alias("node_trace"))
+
+
+def tagged(rows: DataFrame, wanted: dict[str, tuple[str, ...]]) -> DataFrame:
+    """rows whose label columns, single or lists, hold one of the wanted labels each; an empty wish asks nothing."""
+    for column, labels in wanted.items():
+        if labels:
+            held = F.arrays_overlap(F.col(column), F.array(*[F.lit(x) for x in labels])) if rows.schema[column].dataType.typeName() == "array" else F.col(column).isin(*labels)
+            rows = rows.where(held)
+    return rows
+
+
+def run_trace(runs: DataFrame) -> DataFrame:
+    """(id, place, node, n, state): the nodes of each run in order with their counts; the failed count belongs to the last node.
+
+    A node is done if it or a later one has a count, else open, and in a failed run the first open one has failed.
+    """
+    nodes = ("collected", "deduped", "classified", "extracted")
+    counts = F.array(*[F.coalesce(F.col(f"{k}_count"), F.lit(0)) for k in nodes])
+    last = F.coalesce(F.array_max(F.transform(counts, lambda x, i: F.when(x > 0, i))), F.lit(-1))
+    each = runs.select("id", "status", last.alias("last"), F.posexplode(counts).alias("place", "n"))
+    name = F.element_at(F.array(*[F.lit(k) for k in nodes]), F.col("place") + 1)
+    state = F.when(F.col("place") <= F.col("last"), "done").when((F.col("status") == "failed") & (F.col("place") == F.col("last") + 1), "failed").otherwise("open")
+    return each.select("id", "place", name.alias("node"), "n", state.alias("state"))
+
+
+def recovered(runs: DataFrame) -> DataFrame:
+    """runs with every one that never ended set to failed, and a note where it has none."""
+    lost = F.col("ended_at").isNull()
+    return runs.withColumns({"status": F.when(lost, "failed").otherwise(F.col("status")), "error_summary": F.when(lost, F.coalesce("error_summary", F.lit("interrupted"))).otherwise(F.col("error_summary"))})
+
+
+def due_order(due: DataFrame) -> DataFrame:
+    """due sources with their place: never fetched first, then the longest ago, then by id. Sources are a small dimension."""
+    last = T.iso_seconds(T.or_empty(F.col("last_fetched_at"), F.col("last_checked_at")))
+    return due.withColumn("place", F.row_number().over(Window.orderBy(last.asc_nulls_first(), F.asc("id"))))
+
+
+def dashboard(runs: DataFrame, processed: DataFrame) -> DataFrame:
+    """One row: newest run, when the last scheduled run ended, totals of all runs, and whether there is anything for a brief."""
+    r = runs.agg(F.max_by("id", F.struct("started_at", "id")).alias("latest_run"), F.max(F.when(F.col("trigger_type") == "interval", F.col("ended_at"))).alias("last_scheduled_end"), *[F.sum(f"{k}_count").alias(k) for k in ("collected", "failed")])
+    p = processed.agg((F.count("*") > 0).alias("can_brief"))
+    return r.join(F.broadcast(p), F.lit(True))

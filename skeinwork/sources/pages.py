@@ -17,12 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.functions import text as T
-from skeinwork.sources.cleaning import clean
+from skeinwork.sources.cleaning import HIDDEN, clean
 
-# Tags whose content is never text; meta keys that hold a publication date, in order.
-SILENT = frozenset({"script", "style", "noscript", "template", "svg", "canvas", "iframe", "object", "embed"})
+# Meta keys that hold a publication date, in order.
 DATE_KEYS = ("article:published_time", "og:article:published_time", "publishdate", "publish_date", "pubdate", "date", "dc.date", "dc.date.issued")
-# Character pairs that betray a wrong decoding.
+# Character pairs that betray a wrong decoding, of the commonest confusions of UTF-8 with Latin and Chinese encodings.
 MOJIBAKE = ("ï¼", "ï½", "ï»¿", "â€", "â", "Ã", "Â", "ä¸", "äº", "å", "æ–", "è½", "èƒ", "é¾", "çš", "锛", "鈥", "銆", "妯", "鍙", "浜", "绛", "ðŸ")
 
 PAGE = "struct<title:string,description:string,body:string,published:string,links:array<struct<href:string,text:string>>>"
@@ -68,7 +67,7 @@ class _Reader(HTMLParser):
         self.in_title = self.in_link = False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in SILENT:
+        if tag in HIDDEN:
             self.silent.append(tag)
         elif not self.silent:
             values = {k: v or "" for k, v in attrs}
@@ -122,8 +121,14 @@ def parse(page: str | None, base: str | None) -> dict | None:
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def one(page: str | None, base: str | None) -> dict | None:
+        try:
+            return parse(page, base)
+        except (AssertionError, ValueError):  # what the parser raises on markup it can't read: such a page is empty
+            return {"title": "", "description": "", "body": "", "published": None, "links": []}
+
     for batch in batches:
-        pages = [parse(h, u) for h, u in zip(batch.column("html").to_pylist(), batch.column("url").to_pylist())]
+        pages = [one(h, u) for h, u in zip(batch.column("html").to_pylist(), batch.column("url").to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(pages, _PAGE)], names=["id", "page"])
 
 
@@ -200,7 +205,10 @@ def usable_link(base: Column, url: Column, title: Column) -> Column:
 _SHELL = ("首页", "APP下载", "登录", "注册", "投稿", "验证码", "联系我们", "联系邮箱", "版权所有", "站内导航", "版权声明", "扫码下载APP", "用户 反馈", "提交成功")
 _PHRASES = ("企业库", "销量", "查询", "采购", "项目", "AutoNews", "工具栏", "寻求", "报道", "公众号")
 _LEFT_OVER = ("html4", "purchaseInfo", "ProductName", "add-author")
-_TAGS = "a article aside blockquote body button canvas cite div em figcaption figure footer form h1 h2 h3 h4 h5 h6 header img input label li main nav ol p path section span strong svg ul".split()
+_TAGS = (
+    "a", "article", "aside", "blockquote", "body", "button", "canvas", "cite", "div", "em", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
+    "header", "img", "input", "label", "li", "main", "nav", "ol", "p", "path", "section", "span", "strong", "svg", "ul",
+)
 
 
 def substantive(body: Column, title: Column) -> Column:

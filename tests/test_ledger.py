@@ -84,6 +84,10 @@ def test_nearest(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, 0.1])]
     got = similarity.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding", k=2).collect()
     assert [(r["neighbour_id"], r["place"]) for r in sorted(got, key=lambda r: r["place"])] == [(1, 1), (5, 2)]
+    more = spark.createDataFrame([*rows, (50, [1.0, 0.2]), (100, [0.5, 0.5]), (150, [1.0]), (200, None), (250, [0.0, 0.0]), (6, [1.0, 0.0, 1.0]), (7, [1.0, None]), (7, [1.0, None])], "vec_id long, embedding array<float>")
+    by_block = lambda n: sorted(map(tuple, similarity.nearest(more, "vec_id", "embedding", k=3, block=n).collect()))
+    assert by_block(1) == by_block(100) and {r[0] for r in by_block(2)} == {0, 50, 100}
+    assert similarity.nearest(more.limit(0), "vec_id", "embedding").count() == 0
 
 
 def test_first_by(spark):

@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skeinwork.sources import pages
-from skeinwork.sources.cleaning import balanced_end, clean
+from skeinwork.sources.cleaning import block_end, clean
 
 
 def test_decoding():
@@ -60,7 +60,7 @@ def test_cleaning(text, want):
 
 
 def test_unbalanced_text_stays():
-    assert balanced_end('{"a": "}"}', 0) == 10 and balanced_end("{", 0) == -1
+    assert block_end('{"a": "}"}', 0) == 10 and block_end("{", 0) == -1
     assert "long" in clean("{ " + "long " * 50_000)
 
 
