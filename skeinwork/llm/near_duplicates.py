@@ -1,7 +1,7 @@
 """Near-duplicate records with small edits (problem 3).
 
 Exact copies are one class, whatever their number. Each class has a consistent MinHash fingerprint; its segments of a few values
-each are keys. Classes that share a key and whose bit sketches are near are compared exactly on their whole stretch sets. README says
+each are keys. Classes that share keys and whose bit sketches are near are compared exactly on their whole stretch sets. README says
 why the segments are MinHash values rather than Golay codewords.
 """
 
@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from skeinwork.functions.fold import alnum_points, code_points, mix64, stretch_hashes
 from skeinwork.session import cut, stored
 
-#: The most pairs just as similar as asked for that may share no key: one in a hundred.
+#: The most pairs just as similar as asked for that may share too few keys: one in a hundred.
 LOST = 0.01
+#: The most MinHash values of a text.
+MOST = 480
 #: Bits of the sketch, at most as many as MinHash values, and standard deviations above the mean that two sketches may differ by.
-SKETCH, SPREAD = 256, 4.5
+SKETCH, SPREAD = 384, 4.0
 #: Rounds that throw all elements into bins before the remaining bins are filled one by one.
 ROUNDS = 129
 #: Letters and digits and texts worked on at a time, so that arrays stay in the processor's cache.
@@ -29,7 +31,7 @@ CHUNK, TEXTS = 12_000, 128
 #: Texts a task remembers, so that a copy's keys are not made again; forgetting costs time only.
 REMEMBERED = 100_000
 _NONE, _HALF = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(32)
-_SALTS = mix64(np.arange(1, 1025, dtype=np.uint64))
+_SALTS = mix64(np.arange(1, ROUNDS + MOST + 1, dtype=np.uint64))
 
 
 def stretches(points: np.ndarray, width: int) -> np.ndarray:
@@ -65,14 +67,22 @@ def fingerprints(hashes: np.ndarray, rows: np.ndarray, many: int, size: int) ->
     return out
 
 
-def segments(least: float) -> tuple[int, int]:
-    """(values of a segment, number of segments): the fewest segments of the longest size that lose at most LOST of the pairs at `least`.
+def segments(least: float, shared: int = 1) -> tuple[int, int]:
+    """(values of a segment, number of segments): the fewest segments of the longest size, so that at most LOST of the pairs at similarity
+    `least` share fewer than `shared` of them.
 
-    At 0.5 they are 72 of 4, which lose one pair in 105 there and one in 1,000 at 0.55; at 0.6 they are 57 of 5.
+    At 0.5, two shared, they are 104 of 4, which lose one pair in 100 there and one in 1,900 at 0.55; at 0.6, one shared, 57 of 5.
     """
-    needed = lambda n: math.ceil(math.log(LOST) / math.log(1 - least**n))
-    size = next((n for n in (5, 4, 3, 2) if n * needed(n) <= 320), 1)
-    return size, needed(size)
+
+    def lost(size: int, many: int) -> float:
+        p = least**size
+        return sum(math.comb(many, k) * p**k * (1 - p) ** (many - k) for k in range(shared))
+
+    for size in (5, 4, 3, 2, 1):
+        many = next((n for n in range(shared, MOST // size + 1) if lost(size, n) <= LOST), None)
+        if many:
+            return size, many
+    raise ValueError(f"no {MOST} values find pairs at {least}")
 
 
 def differing(least: float) -> int:
@@ -184,25 +194,26 @@ def _verified(width: int, least: float):
     return run
 
 
-def classes(texts: DataFrame, width: int, least: float, left_out: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def classes(texts: DataFrame, width: int, least: float, shared: int = 1, left_out: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, links) of texts(id, text): members(id, rep) puts copies (equal letters and digits) into classes named by their smallest
     id, links(a, b, similarity), a < b, are all pairs of classes at least `least` similar.
 
     Null texts and texts without letters and digits are in no class. Ids must be unique; equal rows count once. A text shorter than
     `width` is one stretch. Ids in left_out(id) are passed over; equal texts must be left out together. A class of any number of copies
-    is one row in the join, so a third of all rows in one class costs nothing. One plan at every size: keys move once, pairs and sketches
-    are narrow, and only candidates' letters and digits move.
+    is one row in the join, so a third of all rows in one class costs nothing. Candidates share at least `shared` keys; two keep out most
+    pairs that have only the page furniture of their source in common, whose number grows with the square of the source. One plan at every
+    size: keys move once, pairs and sketches are narrow, and only candidates' letters and digits move.
     """
     narrow = texts.where(F.col("text").isNotNull()).select("id", "text")
     # Written once, before any shuffle: texts are folded once, and only distinct texts of a task have keys.
-    rows = cut(narrow.mapInArrow(_sketches(width, *segments(least)), _ROWS))
+    rows = cut(narrow.mapInArrow(_sketches(width, *segments(least, shared)), _ROWS))
     if left_out is not None:
         rows = rows.join(stored(left_out.select("id").distinct()), "id", "left_anti")
     first = [F.first(c, ignorenulls=True).alias(c) for c in _WORDS]
     own = cut(rows.groupBy("copy", "copy2").agg(F.min("id").alias("rep"), *first))
     members = rows.select("id", "copy", "copy2").join(own.select("copy", "copy2", "rep"), ["copy", "copy2"]).select("id", "rep").distinct()
     keyed = rows.where(F.col("keys").isNotNull()).select("copy", F.explode("keys").alias("key"))
-    met = keyed.withColumnRenamed("copy", "copy_a").join(keyed.withColumnRenamed("copy", "copy_b"), "key").where("copy_a < copy_b").select("copy_a", "copy_b").distinct()
+    met = keyed.withColumnRenamed("copy", "copy_a").join(keyed.withColumnRenamed("copy", "copy_b"), "key").where("copy_a < copy_b").groupBy("copy_a", "copy_b").count().where(F.col("count") >= shared).drop("count")
     # 64 of the 128 bits name a class here; should two ever share them, both are looked up and compared.
     of = lambda k: own.select(F.col("copy").alias(f"copy_{k}"), F.col("rep").alias(k), *[F.col(w).alias(f"{w}_{k}") for w in _WORDS])
     apart: Column = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in _WORDS), F.lit(0))
@@ -249,8 +260,8 @@ def groups(members: DataFrame, links: DataFrame) -> DataFrame:
     return named.select("id", F.coalesce("label", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-#: Stretch width and least similarity of the two kinds of records.
-ITEMS, EVENTS = (8, 0.5), (3, 0.6)
+#: Stretch width, least similarity and keys to be shared of the two kinds of records.
+ITEMS, EVENTS = (8, 0.5, 2), (3, 0.6, 1)
 
 
 def item_texts(items: DataFrame) -> DataFrame:

@@ -33,8 +33,8 @@ def edited(rng, words, share):
     return out
 
 
-@pytest.mark.parametrize("width, least", [near_duplicates.ITEMS, near_duplicates.EVENTS])
-def test_near_pairs_against_brute_force(spark, width, least):
+@pytest.mark.parametrize("width, least, shared", [near_duplicates.ITEMS, near_duplicates.EVENTS])
+def test_near_pairs_against_brute_force(spark, width, least, shared):
     rng = random.Random(width)
     texts = []
     for _ in range(30):
@@ -42,7 +42,7 @@ def test_near_pairs_against_brute_force(spark, width, least):
         texts += [" ".join(words), " ".join(edited(rng, words, 0.03)), " ".join(edited(rng, words, 0.08)), " ".join(words[len(words) // 3 :] + words[: len(words) // 3])]
     texts += [texts[0], texts[0].upper(), "", None, " . ", "ab", "AB", "新能源汽车"]
     rows = spark.createDataFrame([(i, t, "clash", 1, 2) for i, t in enumerate(texts)] + [(0, texts[0], "clash", 1, 2)], "id long, text string, keys string, a long, rep long")
-    members, links = near_duplicates.classes(rows, width, least)
+    members, links = near_duplicates.classes(rows, width, least, shared)
     got = {tuple(r) for r in near_duplicates.pairs(members, links).collect()}
     real = [i for i, t in enumerate(texts) if t and alnum(t)]
     want = {(i, j) for i in real for j in real if i < j and jaccard(texts[i], texts[j], width) >= least}
@@ -71,7 +71,7 @@ def test_recall_just_above_the_least_similarity(spark):
 
 def test_near_pairs_leave_out_and_empty(spark):
     rows = spark.createDataFrame([(1, "the same words are here"), (2, "the same words are here"), (3, "the same words are here!")], "id long, text string")
-    out = near_duplicates.classes(rows, 8, 0.5, spark.createDataFrame([(2,)], "id long"))
+    out = near_duplicates.classes(rows, 8, 0.5, 2, spark.createDataFrame([(2,)], "id long"))
     assert {tuple(r) for r in near_duplicates.pairs(*out).collect()} == {(1, 3)}
     assert near_duplicates.pairs(*near_duplicates.classes(rows.limit(0), 8, 0.5)).count() == 0
 
