@@ -71,6 +71,20 @@ def survivors(processed: DataFrame, raw: DataFrame, sources: DataFrame) -> DataF
     return wide.where("n >= 2").drop("n")
 
 
+def voted(processed: DataFrame, raw: DataFrame, sources: DataFrame, half_life_days: float | None) -> DataFrame:
+    """(event_id, author, source_type, importance, and the votes of each as <field>_votes) of each event, by vote() over its processed items.
+
+    Field by field the value with the most source trust, decayed by age, survives; ties go to the more trusted, longer, later item.
+    """
+    rows = candidates(processed, raw, sources)
+    words = raw.select(F.col("id").alias("raw_id"), "author", "source_id").dropDuplicates(["raw_id"])
+    kinds = sources.select(F.col("id").alias("source_id"), "type").dropDuplicates(["source_id"])
+    levels = processed.select(F.col("id").alias("item_id"), "importance_level").dropDuplicates(["item_id"])
+    whole = rows.join(words, "raw_id", "left").join(kinds, "source_id", "left").join(levels, "item_id")
+    ties = F.struct("trust", "size", F.coalesce("seconds", F.lit(-(1 << 62))), -F.col("item_id"))
+    return vote(whole, "event_id", {"author": F.col("author"), "source_type": F.col("type"), "importance": F.col("importance_level")}, F.col("trust"), F.col("seconds"), half_life_days, ties)
+
+
 def found(processed: DataFrame, raw: DataFrame, sources: DataFrame) -> DataFrame:
     """Cases of problem 6."""
     return survivors(processed, raw, sources)

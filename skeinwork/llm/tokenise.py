@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Code points of a chunk and of the overlap with the next one. A text up to CHUNK + OVERLAP is one chunk and is never shuffled.
-CHUNK, OVERLAP = 65_536, 1_024
+CHUNK, OVERLAP = 8_192, 512
 
 
 def default_vocabulary() -> str:
@@ -98,12 +98,30 @@ def _edges(size: int, overlap: int):
     return run
 
 
+_DOC = "doc struct<doc_id:bigint,h:bigint,n:int>"
+
+
+def _cut(names: tuple[str, str]):
+    """(doc, <name>, text): the slices of each text that its `cuts` name, from begin to end, each numbered by its cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, numbers, texts = [], [], []
+            for row, (text, cuts) in enumerate(zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist())):
+                docs += [row] * len(cuts)
+                numbers += [c["number"] for c in cuts]
+                texts += [text[c["begin"] : c["end"]] for c in cuts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(docs, pa.int64())), pa.array(numbers, pa.int64()), pa.array(texts, pa.string())], names=[*names, "text"])
+
+    return run
+
+
 def encode_corpus(documents: DataFrame, vocabulary: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, ids) of every row of documents(doc_id, text, ...), other columns aside.
 
     An empty and a null text give an empty list. Rows are kept as they are: equal doc_ids give as many rows. ids equal those of the
     whole text whatever the chunk: where an overlap has no common boundary, as inside one endless word, the chunks are encoded as one.
-    Long texts are the only rows shuffled, spread by text and chunk; one piece is never larger than a text.
+    Long texts are the only rows shuffled, spread by text and chunk; each is cut in one pass, and one piece is never larger than a text.
     """
     vocabulary = vocabulary or default_vocabulary()
     rows = documents.select("doc_id", "text")
@@ -113,18 +131,19 @@ def encode_corpus(documents: DataFrame, vocabulary: str | None = None, chunk: in
     # A row of its own identity, so equal doc_ids with other texts are not mixed up.
     long = rows.where(is_long).withColumn("doc", F.struct("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n")))
     copies = long.groupBy("doc").count()
-    starts = F.sequence(F.lit(0), F.floor((F.col("doc.n") - 1) / chunk))
     one = long.dropDuplicates(["doc"])
-    chunks = one.select("doc", F.explode(starts).alias("k"), "text").select("doc", "k", F.substring("text", (F.col("k") * chunk + 1).cast("int"), F.lit(chunk + overlap)).alias("text"))
+    each = F.transform(F.sequence(F.lit(0), F.floor((F.col("doc.n") - 1) / chunk)), lambda k: F.struct(k.alias("number"), (k * chunk).alias("begin"), (k * chunk + chunk + overlap).alias("end")))
+    chunks = one.select("doc", "text", each.alias("cuts")).mapInArrow(_cut(("doc", "k")), f"{_DOC}, k bigint, text string")
     spread = chunks.repartition("doc", "k")
-    edges = spread.mapInArrow(_edges(chunk, overlap), "doc struct<doc_id:bigint,h:bigint,n:int>, k bigint, head array<bigint>, tail array<bigint>")
+    edges = spread.mapInArrow(_edges(chunk, overlap), f"{_DOC}, k bigint, head array<bigint>, tail array<bigint>")
     in_order = Window.partitionBy("doc").orderBy("k")
     common = F.array_intersect("head", F.lag("tail").over(in_order))
     stitched = edges.select("doc", "k", F.when(F.col("k") == 0, F.lit(0)).otherwise(F.try_element_at(F.array_sort(common), F.lit(1))).alias("start"))
     kept = stitched.where(F.col("start").isNotNull())
     ends = kept.select("doc", "start", F.coalesce(F.lead("start").over(Window.partitionBy("doc").orderBy("start")), F.col("doc.n").cast("bigint")).alias("end"))
-    pieces = one.join(ends, "doc").select("doc", "start", F.substring("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("text"))
-    encoded = pieces.repartition("doc", "start").mapInArrow(_encode_batches(vocabulary, ("doc", "start")), "doc struct<doc_id:bigint,h:bigint,n:int>, start bigint, ids array<int>")
+    cuts = ends.groupBy("doc").agg(F.collect_list(F.struct(F.col("start").alias("number"), F.col("start").alias("begin"), "end")).alias("cuts"))
+    pieces = one.join(cuts, "doc").select("doc", "text", "cuts").mapInArrow(_cut(("doc", "start")), f"{_DOC}, start bigint, text string")
+    encoded = pieces.repartition("doc", "start").mapInArrow(_encode_batches(vocabulary, ("doc", "start")), f"{_DOC}, start bigint, ids array<int>")
     whole = encoded.groupBy("doc").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "ids"))), lambda x: x["ids"])).alias("ids"))
     again = whole.join(copies, "doc").select(F.col("doc.doc_id").alias("doc_id"), F.explode(F.array_repeat("ids", F.col("count").cast("int"))).alias("ids"))
     return short.unionByName(again)

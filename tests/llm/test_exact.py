@@ -112,7 +112,7 @@ def contained(rows, items, n=50):
     return out
 
 
-def test_leaks(spark, monkeypatch):
+def test_leaks(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(rng.randint(2, 8)))
     items = [(i, " ".join(word() for _ in range(40))) for i in range(12)] + [(20, ""), (21, None), (22, "too short"), (23, "ab" * 60), (24, "ab" * 60), (25, "新能源汽车动力电池" * 8)]
@@ -127,13 +127,37 @@ def test_leaks(spark, monkeypatch):
     want = contained(rows, items)
     sources = spark.createDataFrame([(i, t, 5, "clash") for i, t in items + items[:1]], "item_id long, item_text string, doc_id long, text string")
     assert {tuple(r) for r in leakage.found(docs(spark, rows), sources).collect()} == want and len(want) > 30
-    by_join = leakage.leaks(docs(spark, rows), sources, sent_terms=3).select("doc_id", "item_id")
-    assert {tuple(r) for r in by_join.collect()} == want
-    monkeypatch.setattr(leakage, "SENT_BYTES", 0)
-    assert {tuple(r) for r in leakage.found(docs(spark, rows), sources).collect()} == want
+    in_passes = leakage.leaks(docs(spark, rows), sources, slack=None, block=500).select("doc_id", "item_id")
+    assert {tuple(r) for r in in_passes.collect()} == want
+    lengths = {(r["doc_id"], r["item_id"]): r["characters"] for r in leakage.leaks(docs(spark, rows), sources, slack=None).collect()}
+    for (d, i), n in lengths.items():
+        of = [x for x in rows if x[0] == d], [x for x in items if x[0] == i]  # some ids stand for two texts
+        assert contained(*of, n) and not contained(*of, n + 1)
     assert leakage.found(docs(spark, []), sources).count() == 0 and leakage.found(docs(spark, rows), sources.limit(0)).count() == 0
 
 
+def test_leaks_in_proximity(spark):
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefghijk") for _ in range(n))
+    item = letters(200)
+    near = letters(30) + item[10:45] + "inserted" + item[45:80] + letters(9) + item[80:120] + letters(20)
+    far = item[:40] + letters(300) + item[40:80] + letters(300) + item[80:110]
+    back = item[100:140] + letters(5) + item[50:90]
+    rows = [(1, near), (2, far), (3, back), (4, letters(400)), (5, item[20:90])]
+    got = {(r["doc_id"], r["kind"]): r["characters"] for r in leakage.leaks(docs(spark, rows), spark.createDataFrame([(7, item)], "item_id long, item_text string")).collect()}
+    assert got == {(1, "proximity"): 110, (5, "exact"): 70}
+
+
+def test_ngram_scores(spark):
+    rng = random.Random(3)
+    plain = lambda n: "".join(chr(rng.randint(0x4E00, 0x5E00)) for _ in range(n))
+    rows = [(i, plain(400)) for i in range(60)] + [(100 + i, plain(60) * 7) for i in range(20)] + [(200, None), (201, ""), (202, "短")]
+    got = {r["doc_id"]: r for r in repetition.ngram_scores(docs(spark, rows)).collect()}
+    assert len(got) == len(rows) and all(got[i]["llr"] == 0 and got[i]["is_kept"] for i in (200, 201, 202))
+    assert min(got[i]["llr"] for i in range(60)) > max(got[100 + i]["llr"] for i in range(20))
+    assert repetition.ngram_scores(docs(spark, [])).count() == 0
+
+
 # Problem 2 ------------------------------------------------------------------------------------------------------------
 
 ITEMS = "id long, source_id long, title string, author string, published_at string, raw_content string, content_excerpt string, lines string, day string, line_no long"
@@ -171,9 +195,13 @@ def test_repeated_lines(spark):
 
 
 def test_counts_of_pages_and_days(spark):
-    rows = [(i, 1, "Same line here\nbody" if i < 6 else f"Same line here\n{i}x", f"2024-01-0{i % 3 + 1}") for i in range(12)]
-    got = {tuple(r)[2:] for r in boilerplate_lines.repeated_lines(boilerplate_lines.hashed_lines(items(spark, rows))).collect()}
-    assert (12, 2, 3) in got  # 6 equal pages and 6 whose letters are equal: two clusters, three days
+    rows = [(i, 1, "Same line here\nbody" if i < 6 else f"Same line here\n{i}x", ["2024-01-01 23:00", "2 January 2024", "2024-01-04T01:00:00+08:00"][i % 3]) for i in range(12)]
+    sources = spark.createDataFrame([(1, "en_GB", "Europe/London")], "id long, site_locale string, site_tz string")
+    strict = lambda clusters=None, **k: {tuple(r)[2:] for r in boilerplate_lines.repeated_lines(boilerplate_lines.hashed_lines(items(spark, rows), sources, clusters), **k).collect()}
+    assert strict(pages=2, days=3) == {(12, 2, 3)}  # 6 equal pages and 6 whose letters are equal: two clusters, three days
+    assert strict(pages=3) == set() and strict(days=4) == set()
+    assert strict(spark.createDataFrame([(i, 5) for i in range(6, 12)], "id long, group_id long"), pages=2) == {(12, 2)}
+    assert strict() == {(12,)}
 
 
 # Problem 6 ------------------------------------------------------------------------------------------------------------
