@@ -88,7 +88,9 @@ _memory: dict[str, tuple] = {}
 
 def _shape(line: str) -> tuple:
     m = _BULLET.match(line)
-    return m.lastindex if m else 0, line[-1] in ".。!?！？;；", _CODE.search(line) is not None
+    # One of these is in all that _CODE finds.
+    code = ("{" in line or ";" in line or "=" in line or "window." in line) and _CODE.search(line) is not None
+    return m.lastindex if m else 0, line[-1] in ".。!?！？;；", code
 
 
 def _look(line: str) -> tuple:
@@ -127,13 +129,37 @@ def _grams(text: str) -> set[str]:
     return {text[i : i + 3] for i in range(len(text) - 2)}
 
 
+#: Stretches of the last lines seen, for those that recur.
+_gram_memory: dict[str, set] = {}
+
+
+def _line_grams(bare: str) -> set:
+    mine = _gram_memory.get(bare)
+    if mine is None:
+        if len(_gram_memory) >= 8_000:
+            _gram_memory.clear()
+        mine = _gram_memory[bare] = _grams(bare)
+    return mine
+
+
 def _similarity(bare: str, title: str, title_grams: set[str]) -> float:
     if not bare or not title or len(bare) > 2 * len(title) + 20:
         return 0.0
     if bare in title or title in bare:
         return min(len(bare), len(title)) / max(len(bare), len(title)) if len(bare) < 6 else max(0.7, min(len(bare), len(title)) / max(len(bare), len(title)))
-    mine = _grams(bare)
-    return len(mine & title_grams) / max(1, len(mine | title_grams))
+    mine = _line_grams(bare) if len(bare) <= REMEMBERED else _grams(bare)
+    common = len(mine & title_grams)
+    return common / max(1, len(mine) + len(title_grams) - common)
+
+
+def _means(weights: list[tuple[float, float] | None]) -> tuple[float, float, float]:
+    """(mean of the first, mean of the second weight over known tokens, both drawn to 0; share of known tokens)."""
+    known = [x for x in weights if x is not None]
+    n = len(known)
+    if not n:
+        return 0.0, 0.0, 0.0
+    first, second = zip(*known)
+    return sum(first) / (n + 1), sum(second) / (n + 1), n / len(weights)
 
 
 class LineModel:
@@ -151,9 +177,7 @@ class LineModel:
 
     def evidence(self, words: list[str]) -> tuple[float, float, float]:
         """(story against furniture, headline against story, share of known tokens), the first two means over known tokens."""
-        known = [x for x in map(self.weights.get, words) if x is not None]
-        n = len(known)
-        return sum([x[0] for x in known]) / (n + 1), sum([x[1] for x in known]) / (n + 1), n / (len(words) or 1)
+        return _means(list(map(self.weights.get, words)))
 
     def own(self, line: str, words: list[str], bare: str, shape: tuple) -> tuple:
         """The features of a line on its own, but for its likeness to the title."""
@@ -162,9 +186,10 @@ class LineModel:
             size = len(line)
             count = line.translate(_KINDS).count
             label = _LABEL.match(line)
+            weights = list(map(self.weights.get, words))
             row = (
-                *self.evidence(words), size, len(words), *shape, 0.0, len(_SEPARATOR.findall(line)), count("d") / size, count("l") / size, count("w") / size, len(label.group(1)) if label else 0,
-                *self.evidence(words[:4])[:2], size <= SHORT and _DATE.search(line) is not None, size <= SHORT and _AMOUNT.search(line) is not None, len(_CODE.findall(line)) if shape[2] else 0, *self.evidence(words[len(words) // 2 :])[:2], size - len(bare), count("s") / size,
+                *_means(weights), size, len(words), *shape, 0.0, len(_SEPARATOR.findall(line)), count("d") / size, count("l") / size, count("w") / size, len(label.group(1)) if label else 0,
+                *_means(weights[:4])[:2], size <= SHORT and _DATE.search(line) is not None, size <= SHORT and _AMOUNT.search(line) is not None, len(_CODE.findall(line)) if shape[2] else 0, *_means(weights[len(words) // 2 :])[:2], size - len(bare), count("s") / size,
             )
             if size <= REMEMBERED:
                 if len(self.rows) >= MEMORY:
