@@ -213,7 +213,8 @@ def classes(texts: DataFrame, width: int, least: float, shared: int = 1, left_ou
     own = cut(rows.groupBy("copy", "copy2").agg(F.min("id").alias("rep"), *first))
     members = rows.select("id", "copy", "copy2").join(own.select("copy", "copy2", "rep"), ["copy", "copy2"]).select("id", "rep").distinct()
     keyed = rows.where(F.col("keys").isNotNull()).select("copy", F.explode("keys").alias("key"))
-    met = keyed.withColumnRenamed("copy", "copy_a").join(keyed.withColumnRenamed("copy", "copy_b"), "key").where("copy_a < copy_b").groupBy("copy_a", "copy_b").count().where(F.col("count") >= shared).drop("count")
+    # A merge join at every size: the planner takes the keys for as small as the texts they come from and would send small tables' to all.
+    met = keyed.withColumnRenamed("copy", "copy_a").join(keyed.withColumnRenamed("copy", "copy_b").hint("merge"), "key").where("copy_a < copy_b").groupBy("copy_a", "copy_b").count().where(F.col("count") >= shared).drop("count")
     # 64 of the 128 bits name a class here; should two ever share them, both are looked up and compared.
     of = lambda k: own.select(F.col("copy").alias(f"copy_{k}"), F.col("rep").alias(k), *[F.col(w).alias(f"{w}_{k}") for w in _WORDS])
     apart: Column = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in _WORDS), F.lit(0))
