@@ -65,6 +65,11 @@ def first_by(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
 
 
+def numbered(rows: DataFrame, key: str, *order: Column) -> DataFrame:
+    """rows with `place`, from 1, in the order within each key."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
 def backfilled_dates(raw: DataFrame) -> DataFrame:
     """(id, day, origin) of rows without published_at: the labelled date of the text, else the date of the URL; rows with neither are left out."""
     missing = raw.where(F.col("published_at").isNull())

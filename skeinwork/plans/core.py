@@ -16,7 +16,8 @@ from skeinwork.operators import serving as S
 from skeinwork.operators import timestamps
 from skeinwork.plans import sql
 from skeinwork.session import read_table
-from skeinwork.sources import pages, similarity
+from skeinwork.sources import cleaning, fetch, pages, similarity
+from skeinwork.streaming import ingest
 from skeinwork.vocab import NEV, REFERENCE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -689,6 +690,76 @@ def brief_row(t):
     return S.brief(S.brief_items(t.joined())).select(F.lit("daily").alias("brief_type"), F.concat(F.lit("产业舆情简报 "), F.substring(F.coalesce("time_range_end", F.lit("")), 1, 10)).alias("title"), F.size(F.from_json("item_ids", "array<bigint>")).alias("n_items"), F.length("content_markdown").alias("size"))
 
 
+@query
+def clean_text(t):
+    """Every item's text freed of markup and code."""
+    return A.once(cleaning.cleaned(t.raw_items, "id", "raw_content"))
+
+
+@query
+def clean_plain(t):
+    """Texts that hold no sign of markup or code come out of the cleaner as one line and otherwise unchanged."""
+    return A.once(cleaning.cleaned(t.raw_items.where(~F.coalesce(F.col("raw_content").rlike(r"[<{}&;@]|/\*"), F.lit(False))), "id", "raw_content"))
+
+
+@query
+def decoded_titles(t):
+    """Titles as bytes of a page or feed, decoded and told apart."""
+    xml = F.when(F.length("title") % 2 == 0, F.lit("<?xml version='1.0'?><rss>")).otherwise(F.lit("<html>"))
+    rows = t.raw_items.select("id", F.encode(F.concat(xml, F.coalesce("title", F.lit(""))), "UTF-8").alias("payload"), F.lit("text/html; charset=utf-8").alias("content_type"))
+    return A.once(fetch.decoded(rows))
+
+
+@query
+def collect_new(t):
+    """A manual run: candidates of the pages that the ledger of processed items doesn't hold yet, normalised."""
+    good, _ = L.normalised(C.listing_candidates(_landing(t)))
+    ledger = t.raw_items.where("status = 'processed'").select("url").distinct()
+    return L.new_rows(good.select("url", "source_id", "title"), ledger, "url").select("url", "title")
+
+
+@query
+def scoped_raw(t):
+    """Raw items of each run, numbered in the order they were fetched."""
+    runs = t.processed_items.where("workflow_run_id is not null").select(F.col("raw_item_id").alias("id"), "workflow_run_id").distinct()
+    raw = t.raw_items.select("id", "fetched_at").dropDuplicates(["id"])
+    return L.numbered(runs.join(raw, "id"), "workflow_run_id", F.asc("fetched_at"), F.asc("id")).select("workflow_run_id", "id", "place")
+
+
+@query
+def trace_tags(t):
+    """Each item's tags in the order of dimension and label."""
+    return A.tags(t.classified()).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("dimension", "value"))), lambda x: F.concat(x["dimension"], F.lit("="), x["value"])), "|").alias("tags"))
+
+
+@query
+def cluster_trace(t):
+    """Each cluster of several items: title of its representative, number of items, its sources' names."""
+    rows = t.narrow().withColumn("cluster_key", A.cluster_key(F.col("title")))
+    sets = rows.groupBy("cluster_key").agg(F.array_join(F.array_sort(F.collect_set("source_name")), "|").alias("source_names"))
+    groups = A.clusters(rows).where("members > 1").join(sets, "cluster_key")
+    titles = rows.select(F.col("id").alias("representative_id"), F.col("title").alias("canonical_title"))
+    return groups.join(titles, "representative_id").select("cluster_key", "canonical_title", F.col("members").alias("raw_item_count"), "source_names")
+
+
+@query
+def stream_tumbling(t):
+    w = ingest.tumbling_counts(t.events)
+    return w.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query
+def stream_sessions(t):
+    s = ingest.sessions(t.events)
+    return s.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSS").alias("start"), F.date_format("end", "yyyy-MM-dd HH:mm:ss.SSS").alias("end"), "n")
+
+
+@query
+def advanced_sources(t):
+    """Sources after a run: those with a new item have moved on, all enabled ones were checked."""
+    return ingest.advanced_sources(t.sources, t.raw_items.where("status = 'new'"), "2026-01-01T00:00:00Z").select("id", "last_fetched_at", "last_checked_at", "last_error")
+
+
 @query
 def p5_found(t):
     return timestamps.found(t.raw_items, t.sources)

@@ -174,6 +174,15 @@ _granted = " AND ".join([f"class_industry = {lit(NEV)}", *[f"list_has_any({k}, [
 SQL: dict[str, str] = {
     "bounded_text": f"SELECT id, length(bounded) AS size, md5(bounded) AS digest FROM ({BOUNDED})",
     "substantive_body": SUBSTANTIVE,
+    "clean_plain": f"SELECT id, {compact('raw_content')} AS cleaned FROM ({RAW}) WHERE NOT coalesce(regexp_matches(raw_content, '[<{{}}&;@]|/\\*'), false)",
+    "decoded_titles": f"SELECT id, CASE WHEN length(title) % 2 = 0 THEN '<?xml version=''1.0''?><rss>' ELSE '<html>' END || coalesce(title, '') AS text, coalesce(length(title) % 2 = 0, false) AS is_feed FROM ({RAW})",
+    "collect_new": f"SELECT DISTINCT ON (url) url, {compact('title')} AS title FROM ({_usable}) WHERE url NOT IN (SELECT url FROM raw_items WHERE status = 'processed') ORDER BY url",
+    "scoped_raw": f"SELECT workflow_run_id, id, row_number() OVER (PARTITION BY workflow_run_id ORDER BY fetched_at, id) AS place FROM (SELECT DISTINCT p.workflow_run_id, r.id, r.fetched_at FROM processed_items p JOIN ({RAW}) r ON r.id = p.raw_item_id WHERE p.workflow_run_id IS NOT NULL)",
+    "trace_tags": f"WITH c AS ({CLASSED}) SELECT id, string_agg(dimension || '=' || value, '|' ORDER BY dimension, value) AS tags FROM ({TAGS}) GROUP BY id",
+    "cluster_trace": f"SELECT c.cluster_key, r.title AS canonical_title, c.members AS raw_item_count, n.source_names FROM ({CLUSTERS} FROM ({KEYS}) GROUP BY cluster_key) c JOIN (SELECT cluster_key, array_to_string(list_sort(list(DISTINCT source_name)), '|') AS source_names FROM ({KEYS}) GROUP BY cluster_key) n USING (cluster_key) JOIN ({RAW}) r ON r.id = c.representative_id WHERE c.members > 1",
+    "stream_tumbling": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
+    "stream_sessions": "SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%g') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%g') AS \"end\", count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS part FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, part",
+    "advanced_sources": "SELECT id, CASE WHEN id IN (SELECT source_id FROM raw_items WHERE status = 'new') THEN '2026-01-01T00:00:00Z' ELSE last_fetched_at END AS last_fetched_at, CASE WHEN enabled THEN '2026-01-01T00:00:00Z' ELSE last_checked_at END AS last_checked_at, CASE WHEN enabled THEN NULL ELSE last_error END AS last_error FROM sources",
     "insert_or_enrich": f"SELECT url, CASE WHEN status = 'new' THEN status || ' again' ELSE status || ' again' END AS relevance_reason, status = 'new' AS inserted FROM ({RAW})",
     "moved_urls": f"SELECT id, {_moved('url')} AS url, {_moved('url')} AS canonical_url FROM sources",
     "source_create": "SELECT s.url || CASE WHEN s.type = 'media' THEN '' ELSE '/new' END AS url, CASE WHEN EXISTS (SELECT 1 FROM sources k WHERE k.url = s.url || CASE WHEN s.type = 'media' THEN '' ELSE '/new' END) THEN 'conflict' ELSE 'created' END AS outcome FROM sources s WHERE enabled",

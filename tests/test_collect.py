@@ -54,3 +54,21 @@ def test_tag_filters(spark):
 def test_first_of_each_takes_all_of_few(spark):
     rows = spark.createDataFrame([(1, 5), (1, 4), (1, 3), (2, 9)], "k long, v long")
     assert sorted(map(tuple, C.first_of_each(rows, "k", 2, F.asc("v")).collect())) == [(1, 3), (1, 4), (2, 9)]
+
+
+def answers(url):
+    if "broken" in url:
+        raise TimeoutError("no answer")
+    if "feed" in url:
+        return "<?xml version='1.0'?><rss><channel><item><title>标题</title><link>https://a.example/1</link></item></channel></rss>".encode("gb18030"), "text/xml; charset=gb18030"
+    return b"<a href='/2024/01/05/x.html'>A good headline</a>", "text/html"
+
+
+def test_fetch_and_scan(spark):
+    from skeinwork.sources import fetch
+
+    sources = spark.createDataFrame([(1, "https://a.example/list/", "x"), (2, "https://a.example/feed", "x"), (3, "https://broken.example/", "x")], "id long, url string, text string")
+    landing = fetch.fetched(sources, answers)
+    assert {r["id"]: r["error"] for r in landing.collect()} == {1: None, 2: None, 3: "TimeoutError: no answer"}
+    assert sorted((r["source_id"], r["origin"], r["title"]) for r in fetch.scanned(landing).collect()) == [(1, "listing", "A good headline"), (2, "feed", "标题")]
+    assert fetch.scanned(landing.limit(0)).count() == 0
