@@ -58,6 +58,8 @@ def test_no_query_shuffles_whole_texts(spark, name):
     text = plan(spark, name)
     assert "CartesianProduct" not in text
     for column in ("raw_content", "content_excerpt"):
+        if name in WITH_TEXT:
+            continue
         assert not re.search(rf"(?:first|max|min|max_by|min_by|collect_list|collect_set)\({column}#", text), column
     # No plan line above an exchange projects a text: what is exchanged is what the node below it gives.
     lines = text.split("\n")
