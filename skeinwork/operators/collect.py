@@ -26,9 +26,9 @@ def listing_candidates(landing: DataFrame) -> DataFrame:
 
     Links are parsed in batches and kept where they look like articles; the label is the title. A page that can't be parsed has none.
     """
-    pages_of = pages.parsed(landing).join(landing.select("id", "source_id", F.col("url").alias("base"), "published_at"), "id")
-    links = pages_of.select("source_id", "base", "published_at", F.explode("page.links").alias("link"))
-    good = links.where(pages.usable_link(F.col("base"), F.col("link.href"), F.col("link.text")))
+    links = pages.parsed(landing).select("id", F.explode("page.links").alias("link"))
+    placed = links.join(landing.select("id", "source_id", F.col("url").alias("base"), "published_at"), "id")
+    good = placed.where(pages.usable_link(F.col("base"), F.col("link.href"), F.col("link.text")))
     return good.select("source_id", F.col("link.href").alias("url"), F.col("link.text").alias("title"), F.lit(None).cast("string").alias("raw_content"), "published_at", F.lit("listing").alias("origin")).dropDuplicates(["source_id", "url"])
 
 
@@ -45,7 +45,7 @@ def within(candidates: DataFrame, windows: DataFrame, most: int = 200) -> DataFr
     Unknown instants stay, after the known ones. Sources without a window have no candidates.
     """
     seconds = T.iso_seconds(F.col("published_at"))
-    inside = candidates.withColumn("seconds", seconds).join(F.broadcast(windows.withColumnRenamed("id", "source_id")) if False else windows.withColumnRenamed("id", "source_id"), "source_id")
+    inside = candidates.withColumn("seconds", seconds).join(windows.withColumnRenamed("id", "source_id"), "source_id")
     kept = inside.where(in_window(F.col("seconds"), F.col("window_start"), F.col("window_end"))).drop("window_start", "window_end")
     return first_of_each(kept, "source_id", most, F.desc_nulls_last("seconds"), F.asc("url"))
 

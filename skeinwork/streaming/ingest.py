@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,11 +16,15 @@ from skeinwork.operators import ledger
 class Store:
     """A ledger of versions in one folder: each commit writes a new version and then moves the pointer, so readers see whole states.
 
+    Rows lie in buckets by a hash of `key`, so a batch meets only the buckets its keys fall into; compact() puts all versions into one.
     One writer at a time. A batch id that was committed before is passed over, which makes a repeated micro-batch harmless.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, key: str = "url", buckets: int = 64):
+        self.spark, self.folder, self.key, self.buckets = spark, folder, key, buckets
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
     def _files(self):
         jvm = self.spark._jvm
@@ -33,22 +37,37 @@ class Store:
         root = path(f"{self.folder}/_commits")
         return sorted(str(PurePosixPath(s.getPath().toString()).name) for s in fs.listStatus(root)) if fs.exists(root) else []
 
-    def read(self) -> DataFrame | None:
-        """Rows of all committed versions, null before the first."""
+    def read(self, near: DataFrame | None = None) -> DataFrame | None:
+        """Rows of all committed versions, None before the first; with `near` only those of the buckets that its keys fall into."""
         names = self.commits()
-        return self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.folder}/{n}" for n in names]) if names else None
+        since = max((n for n, name in enumerate(names) if name.split("-")[1] == "compact"), default=0)
+        if not names:
+            return None
+        rows = self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.folder}/{n}" for n in names[since:]])
+        if near is not None:
+            rows = rows.where(F.col("__bucket").isin([r[0] for r in near.select(self._bucket()).distinct().collect()]))
+        return rows.drop("__bucket")
+
+    def _commit(self, rows: DataFrame, batch: str) -> None:
+        name = f"{len(self.commits()):09d}-{batch}-{uuid.uuid4().hex[:8]}"
+        # Sorted by bucket, so that a filter on it reaches the scan and skips row groups by their statistics.
+        rows.withColumn("__bucket", self._bucket()).repartition("__bucket").sortWithinPartitions("__bucket").write.parquet(f"{self.folder}/{name}")
+        fs, path = self._files()
+        fs.create(path(f"{self.folder}/_commits/{name}")).close()
 
     def append(self, rows: DataFrame, batch: int | str) -> bool:
         """Commits rows as the version of `batch`; false if that batch was committed before."""
-        names = self.commits()
-        if any(n.split("-")[1] == str(batch) for n in names):
+        if any(n.split("-")[1] == str(batch) for n in self.commits()):
             return False
-        name = f"{len(names):09d}-{batch}-{uuid.uuid4().hex[:8]}"
-        rows.write.parquet(f"{self.folder}/{name}")
-        fs, path = self._files()
-        fs.create(path(f"{self.folder}/_commits/{name}")).close()
+        self._commit(rows, str(batch))
         return True
 
+    def compact(self) -> None:
+        """Writes all rows as one version that readers start from; the versions before stay for readers that have begun, and for their batch ids."""
+        rows = self.read()
+        if rows is not None:
+            self._commit(rows, "compact")
+
 
 def ingest(candidates: DataFrame, store: Store, rejects: Store, checkpoint: str, screen: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Streams candidates(source_id, url, title, raw_content, ...) into the ledger, once a URL for ever.
@@ -59,7 +78,7 @@ def ingest(candidates: DataFrame, store: Store, rejects: Store, checkpoint: str,
 
     def step(batch: DataFrame, number: int) -> None:
         good, bad = ledger.normalised(batch)
-        known = store.read()
+        known = store.read(near=good)
         fresh = good.dropDuplicates(["url"]) if known is None else ledger.new_rows(good, known, "url")
         store.append(screen(fresh) if screen else fresh, number)
         rejects.append(bad, number)

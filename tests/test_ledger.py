@@ -60,6 +60,12 @@ def test_stream_is_idempotent(spark, tmp_path):
     ingest.ingest(stream(), store, rejects, str(tmp_path / "cp")).awaitTermination()
     assert store.read().count() == 2
     assert store.append(store.read(), 0) is False
+    before = sorted(map(tuple, store.read().collect()))
+    store.compact()
+    assert sorted(map(tuple, store.read().collect())) == before and store.append(store.read(), 0) is False
+    one = store.read().where("url like '%1'")
+    assert store.read(near=one).where("url like '%1'").count() == 1 and ingest.Store(spark, str(tmp_path / "none")).read() is None
+    assert store.append(store.read().limit(0), "later") and store.read().count() == 2
 
 
 def test_windows(spark, tmp_path):
