@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from sys import intern
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,6 +168,8 @@ class LineModel:
 
     def __init__(self, weights: dict[str, tuple[float, float]], forest: boosting.Forest | None):
         self.weights, self.forest = weights, forest
+        #: Whether trees were asked for and there were too few labels for any.
+        self.treeless = False
         self.rows: dict[str, tuple] = {}
 
     def __getstate__(self):
@@ -334,6 +337,7 @@ def fit(rows: list[tuple[str, str | None, str | None, int | None]], trees: bool
     target = np.concatenate([_extend(p, x[ends[k] : ends[k + 1]], marks) for k, ((p, _, _), marks) in enumerate(zip(pages, y))]) if pages else np.empty(0)
     use = target >= 0
     if min((target == 1).sum(), (target == 0).sum()) < 20:
+        model.treeless = True
         return model
     order = np.flatnonzero(use)
     weight = np.where(target[order] == 1, 0.5 / (target == 1).sum(), 0.5 / (target == 0).sum()) * len(order)
@@ -384,3 +388,21 @@ def sample(items: DataFrame, most: int = SAMPLE) -> list[tuple]:
     rows = chosen.select("id", "raw_content", "title", "content_excerpt", "source_id").collect()
     one = {r["id"]: (r["raw_content"], r["title"], r["content_excerpt"], r["source_id"]) for r in rows}
     return [one[i] for i in sorted(one, key=lambda i: (i is None, i * 0x9E3779B97F4A7C15 % (1 << 64) if i is not None else 0))][:most]
+
+
+#: The last models fitted in this process, by what they were fitted on.
+_fitted: dict[bytes, LineModel] = {}
+
+
+def model(items: DataFrame, trees: bool = True) -> LineModel:
+    """The model of sample(items). Queries over the same items share it: it is remembered by a hash of the very rows it is fitted on."""
+    rows = sample(items)
+    seen = xxhash.xxh3_128(repr((SAMPLE, TOKENS)))
+    for row in rows:
+        seen.update(repr(row).encode("utf-8", "surrogatepass"))
+    known = _fitted.get(seen.digest())
+    if known is None or trees and known.forest is None and not known.treeless:
+        if len(_fitted) >= 4:
+            _fitted.clear()
+        known = _fitted[seen.digest()] = fit(rows, trees)
+    return known

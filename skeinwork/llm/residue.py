@@ -127,7 +127,7 @@ def residue(items: DataFrame, model: lines.LineModel | None = None, fields: tupl
     Null and blank values are none; neither are values of page furniture alone, nor real texts that mention such words. Equal ids count
     once. The model of lines is fitted on the table itself unless given; an empty table gives no rows. fields: the columns looked at.
     """
-    model = model or lines.fit(lines.sample(items), trees=False)
+    model = model or lines.model(items, trees=False)
     rows = items.select("id", *fields).mapInArrow(_storyless(model, fields), "id bigint, field string, node bigint, text string, trusted boolean, print bigint")
     parts = cut(rows.distinct())
     nodes = parts.groupBy("node", "text", "print").agg(F.max("trusted").alias("trusted"))
